@@ -13,6 +13,15 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import language_id
+
+    docs = common.table(spark, sf_dir, "documents")
+    held_out = common.is_held_out(3, 1)
+    model = language_id.fit(docs, ~held_out)
+    return language_id.predict(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sentencepieces import encode_documents
 
@@ -33,5 +42,5 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(common.table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), end_id=0, capacity=2048)
 
 
-QUERIES = {f.__name__: f for f in (op3_sentencepiece, op7_token_orc, op10_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op3_sentencepiece, op7_token_orc, op10_best_fit_packing)}
 ORACLE_SQL: dict[str, str] = {}
