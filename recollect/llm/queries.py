@@ -22,12 +22,24 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .embedding_dedup import near_duplicates
+
+    return near_duplicates(common.table(spark, sf_dir, "embeddings"), threshold=0.95)
+
+
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sentencepieces import encode_documents
 
     return encode_documents(common.table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"), digests_only=True)
 
 
+def op6_quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import quality
+
+    return quality.judge(common.table(spark, sf_dir, "documents")).drop("char_distance", "word_distance")
+
+
 def op7_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import token_orc
 
@@ -42,5 +54,5 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(common.table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), end_id=0, capacity=2048)
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op3_sentencepiece, op7_token_orc, op10_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_embedding_dedup, op3_sentencepiece, op6_quality_divergence, op7_token_orc, op10_best_fit_packing)}
 ORACLE_SQL: dict[str, str] = {}
