@@ -34,6 +34,12 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(common.table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"), digests_only=True)
 
 
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_extract import extract_pages
+
+    return extract_pages(common.table(spark, sf_dir, "pages"))
+
+
 def op6_quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import quality
 
@@ -54,5 +60,5 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(common.table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), end_id=0, capacity=2048)
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_embedding_dedup, op3_sentencepiece, op6_quality_divergence, op7_token_orc, op10_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_embedding_dedup, op3_sentencepiece, op4_html_extraction, op6_quality_divergence, op7_token_orc, op10_best_fit_packing)}
 ORACLE_SQL: dict[str, str] = {}
