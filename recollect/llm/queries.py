@@ -40,6 +40,12 @@ def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_pages(common.table(spark, sf_dir, "pages"))
 
 
+def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ngram_join import near_duplicates
+
+    return near_duplicates(common.table(spark, sf_dir, "documents"), words=4, num=85, den=100)
+
+
 def op6_quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import quality
 
@@ -60,5 +66,5 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(common.table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), end_id=0, capacity=2048)
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_embedding_dedup, op3_sentencepiece, op4_html_extraction, op6_quality_divergence, op7_token_orc, op10_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_embedding_dedup, op3_sentencepiece, op4_html_extraction, op5_ngram_jaccard, op6_quality_divergence, op7_token_orc, op10_best_fit_packing)}
 ORACLE_SQL: dict[str, str] = {}
