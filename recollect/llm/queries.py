@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import common
+from .oracles import ORACLE_SQL  # noqa: F401
 
 
 def tokenizer_path(name: str) -> str:
@@ -60,11 +62,19 @@ def op7_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_orc.positions(token_orc.read(spark, path))
 
 
+def op8_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import warc_revisits
+
+    found = warc_revisits.resolve(warc_revisits.crawl_of(common.table(spark, sf_dir, "pages")))
+    headers = F.col("headers")
+    return found.select("record_id", "canonical_url", "outcome", "response_id", headers["cache-control"].alias("cache_control"), headers["content-length"].alias("content_length"), F.when(headers.isNotNull(), F.size(headers)).alias("n_headers"), F.md5("payload").alias("payload_md5"))
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack_documents
 
     return pack_documents(common.table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), end_id=0, capacity=2048)
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_embedding_dedup, op3_sentencepiece, op4_html_extraction, op5_ngram_jaccard, op6_quality_divergence, op7_token_orc, op10_best_fit_packing)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_embedding_dedup, op3_sentencepiece, op4_html_extraction, op5_ngram_jaccard, op6_quality_divergence, op7_token_orc, op8_warc_revisits, op10_best_fit_packing)}
+
