@@ -70,11 +70,20 @@ def op8_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("record_id", "canonical_url", "outcome", "response_id", headers["cache-control"].alias("cache_control"), headers["content-length"].alias("content_length"), F.when(headers.isNotNull(), F.size(headers)).alias("n_headers"), F.md5("payload").alias("payload_md5"))
 
 
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lm_score import score_documents
+
+    held_out = common.is_held_out(7, 2)
+    found = score_documents(common.table(spark, sf_dir, "documents"), ~held_out)
+    bits = (-F.col("score") * 3.321928094887362 / F.col("n_bytes")).alias("bits_per_byte")
+    return found.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", bits)
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack_documents
 
     return pack_documents(common.table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), end_id=0, capacity=2048)
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_embedding_dedup, op3_sentencepiece, op4_html_extraction, op5_ngram_jaccard, op6_quality_divergence, op7_token_orc, op8_warc_revisits, op10_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_embedding_dedup, op3_sentencepiece, op4_html_extraction, op5_ngram_jaccard, op6_quality_divergence, op7_token_orc, op8_warc_revisits, op9_lm_scoring, op10_best_fit_packing)}
 
