@@ -117,3 +117,42 @@ def test_walk_by_brute_force(spark):
         edge = {j for i, t in terms if i in edge and len(holders[t]) <= 4 for j in holders[t]} - want.keys()
         want |= dict.fromkeys(edge, hop)
     assert got == want
+
+
+def test_grep_by_brute_force(spark):
+    rng = random.Random(7)
+    texts = ["\n".join(rng.choice(["port 80", "a Port", "nothing", "", "集計 line " * 3]) for _ in range(rng.randrange(30))) for _ in range(60)]
+    df = spark.createDataFrame(list(enumerate(texts)), "idx long, raw string")
+
+    def est(t):
+        wide = sum("　" <= c <= "ヿ" or "一" <= c <= "鿿" for c in t)
+        return wide - (-(len(t) - wide) // 4)
+
+    want = {}
+    for i, text in enumerate(texts):
+        lines = text.removesuffix("\n").split("\n")
+        hits = {k for k, x in enumerate(lines) if "port" in x.lower()}
+        out, last = "", None
+        for k in sorted(hits | {k + 1 for k in hits if k + 1 < len(lines)}):
+            out += ("…\n" if last is not None and k > last + 1 else "") + lines[k] + "\n"
+            last = k
+            if est(out) > 20:
+                break
+        out = out.rstrip()
+        if hits:
+            want[i] = out if len(out) <= 80 else out[:80] + T.CUT_MARK
+    assert {r["idx"]: r["found"] for r in retrieval.grep(df, ["port"], 20).collect()} == want
+
+
+def test_hashed_bag_by_brute_force(spark):
+    texts = ["a b a", "École x_1 X_1", "", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    want = {}
+    for i, words in enumerate((["a", "b", "a"], ["École", "x_1", "x_1"])):
+        counts: dict[int, int] = {}
+        for w in words:
+            k = int(fnv(w), 16) % 256
+            counts[k] = counts.get(k, 0) + 1
+        norm = sum(x * x for x in counts.values()) ** 0.5
+        want |= {(i, k): pytest.approx(x / norm) for k, x in counts.items()}
+    assert {(r["id"], r["bucket"]): r["value"] for r in retrieval.hashed_bag(df, T.word_tokens("text"), "id").collect()} == want
