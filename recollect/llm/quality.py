@@ -8,12 +8,13 @@ rules. A document is kept if it passes the base rules and, for at least one lang
 language is null or has no list of common words belong to the reference of the empty name, which has no common words.
 
 Rows: null and empty texts have no words and fail the base rules; white space is ASCII white space; repeated rows are
-judged alike; an empty table gives an empty result; only doc_id, text and lang are read. Two windows of three words are
-the same if their 64-bit hashes are.
+judged alike; an empty table gives an empty result; only doc_id, text and lang are read. Two words, and two windows of
+three words, are the same if their 64-bit hashes are.
 """
 
 from __future__ import annotations
 
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,39 +30,46 @@ COMMON = {
 #: Character classes: what a class removes from the text is what it counts; the rest is the last class.
 CLASSES = {"lower": "[a-z]+", "upper": r"\p{Lu}+", "letter": r"[\p{L}&&[^a-z\p{Lu}]]+", "digit": "[0-9]+", "space": f"{SPACE}+", "stop": "[.,;:?'\"()-]+"}
 WORDS = sorted({w for words in COMMON.values() for w in words})
+#: What xxhash64() gives for them: XXH64 with seed 42, as a signed integer.
+HASHES = [int.from_bytes(xxhash.xxh64_digest(w.encode(), seed=42), "big", signed=True) for w in WORDS]
 
 
 def features(docs: DataFrame) -> DataFrame:
     """Base columns, counts of characters by class and counts of common words."""
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select("doc_id", F.when(F.col("lang").isin(list(COMMON)), F.col("lang")).otherwise("").alias("lang"), text.alias("text"))
+    # Lower-case letters and white space, most of a text, are taken off first; the other classes are counted in the rest.
+    rows = rows.withColumn("bare", F.regexp_replace("text", CLASSES["lower"], ""))
+    rows = rows.withColumn("rest", F.regexp_replace("bare", CLASSES["space"], ""))
     rows = rows.select(
         "doc_id",
         "lang",
-        F.array_remove(F.split("text", f"{SPACE}+"), "").alias("w"),
+        F.transform(F.array_remove(F.split("text", r"\s+"), ""), lambda x: F.xxhash64(x)).alias("w"),
         F.filter(F.split("text", "\n"), lambda x: x.rlike(rf"[^\x20\x09-\x0D]")).alias("lines"),
         F.length("text").alias("n_chars"),
-        F.length(F.regexp_replace("text", f"{SPACE}+", "")).cast("long").alias("word_chars"),
-        (F.length("text") - F.length(F.regexp_replace("text", r"[#*$%&|<>]+", ""))).cast("long").alias("n_symbols"),
-        *((F.length("text") - F.length(F.regexp_replace("text", p, ""))).alias(f"c_{k}") for k, p in CLASSES.items()),
+        F.length("rest").alias("n_rest"),
+        (F.length("text") - F.length("bare")).alias("c_lower"),
+        (F.length("bare") - F.length("rest")).alias("c_space"),
+        (F.length("rest") - F.length(F.regexp_replace("rest", r"[#*$%&|<>]+", ""))).cast("long").alias("n_symbols"),
+        *((F.length("rest") - F.length(F.regexp_replace("rest", p, ""))).alias(f"c_{k}") for k, p in CLASSES.items() if k not in ("lower", "space")),
     )
     rows = rows.select(
         "doc_id",
         "lang",
         F.size("w").cast("long").alias("n_words"),
-        "word_chars",
+        (F.col("c_lower") + F.col("n_rest")).cast("long").alias("word_chars"),
         "n_symbols",
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.expr("CASE WHEN size(w) < 3 THEN array() ELSE transform(slice(w, 1, size(w) - 2), (x, i) -> xxhash64(x, get(w, i + 1), get(w, i + 2))) END").alias("h"),
         F.array(*(F.col(f"c_{k}").cast("double") for k in CLASSES), (F.col("n_chars") - sum(F.col(f"c_{k}") for k in CLASSES)).cast("double")).alias("chars"),
-        F.filter("w", lambda x: x.isin(WORDS)).alias("known"),
+        F.filter("w", lambda x: x.isin(HASHES)).alias("known"),
     )
     repeated = "CASE WHEN size(array_distinct(h)) = size(h) THEN array() ELSE sort_array(transform(h, (x, i) -> struct(x AS h, i AS p))) END"
     rows = rows.withColumn("s", F.expr(repeated)).drop("h")
     places = "sort_array(transform(filter(s, (x, i) -> coalesce(x.h = get(s, i - 1).h, false) OR coalesce(x.h = get(s, i + 1).h, false)), x -> x.p))"
     rows = rows.withColumn("places", F.expr(places)).drop("s")
     covered = "aggregate(places, struct(0 AS n, -3 AS last), (a, p) -> struct(a.n + least(3, p - a.last) AS n, p AS last), a -> cast(a.n AS bigint))"
-    counts = F.array(*((F.size("known") - F.size(F.array_remove("known", w))).cast("double") for w in WORDS))
+    counts = F.array(*((F.size("known") - F.size(F.array_remove("known", F.lit(h)))).cast("double") for h in HASHES))
     return rows.select("doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", F.expr(covered).alias("n_repeat_words"), "chars", counts.alias("commons"))
 
 
