@@ -221,7 +221,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
 
     reps = checkpoint(told.filter("n > 0 AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("ranges").alias("ranges")))
     by_vertex = reps.select(_vertex_column("digest").alias("v"), "rep", "ranges")
-    found = rows.filter("doc_id IS NOT NULL").select("text").mapInArrow(_prefixes(words, num, den, packed), "token long, v long, n int, pos int").repartition("token").dropDuplicates(["token", "v", "n", "pos"])
+    # Neither is ever null; said here, both uses of the table have one plan, so that it is made and shuffled once.
+    found = rows.filter("doc_id IS NOT NULL").select("text").mapInArrow(_prefixes(words, num, den, packed), "token long, v long, n int, pos int").filter("token IS NOT NULL AND v IS NOT NULL").repartition("token").dropDuplicates(["token", "v", "n", "pos"])
     counts = found.groupBy("token").agg(F.count(F.lit(1)).alias("cnt")).filter("cnt > 1")
     alive = checkpoint(found.join(counts, "token").join(by_vertex, "v").select("token", "cnt", "rep", "n", "pos", "ranges"))
 
