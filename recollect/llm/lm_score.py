@@ -8,8 +8,10 @@ refines the result. Mixer and map belong to the document: they start from common
 window, from what has been coded, so that a document costs what a decoder could follow. The sum of the decisions'
 logarithms is the document's log10 probability, and divided by its bytes gives bits per byte.
 
-The predictors' statistics are those of all training words: as contexts stay within a word, they are gathered from the
-table of distinct words and their counts, and the tables' sizes are fixed.
+The predictors' statistics are those of all training texts, and no table of them is in one place: documents are dealt to
+blocks of bounded size; each block tells its distinct (context, byte) pairs and their counts to the parts of the
+statistics, which are dealt by context; each part adds up and answers each block for the pairs it told. Blocks and parts
+grow in number with the texts, not in size. Contexts of counted bytes are exact, the word so far is a hash of 55 bits.
 
 The baseline adds one to the count of each token. The commonest words' counts (a fixed number) go to every worker; the
 other words of each document are joined with the table of counts.
@@ -32,13 +34,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, checkpoint
+from .common import batches, checkpoint, partitions_for
 
 SPACE, END = 0x20, 0x0A
-#: Bits of the address of each predictor's table: contexts of one, two and three bytes, and the word so far.
-TABLE_BITS = (14, 17, 19, 20)
+#: Predictors' contexts: so many bytes before, and the word so far.
+ORDERS = (1, 2, 3)
+#: Log-odds are told in whole steps of one over this.
+SCALE = 12.7
 GATES, BUCKETS = 4, 24
-LONGEST_PREFIX = 24
 START_WEIGHTS = (0.05, 0.1, 0.3, 0.65)
 
 
@@ -72,46 +75,38 @@ class Code:
         self.offset = (np.cumsum(self.length) - self.length).astype(np.int32)
         flat = [x for s in range(256) for x in paths[s]]
         self.bit = np.array([b for _, b in flat], bool)
-        self.salt = (np.array([n for n, _ in flat], np.uint32) * np.uint32(0x9E3779B1)) ^ np.uint32(0x5BD1E995)
+        self.node = np.array([n - 256 for n, _ in flat], np.int64)
 
 
-def contexts(data: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Place in the word of each byte, and the mixed context of each predictor; `first` marks bytes that begin a word."""
+def keys_of(data: np.ndarray, begin: np.ndarray, first: np.ndarray) -> Iterator[np.ndarray]:
+    """For each predictor, rising by tag: tag, context and byte in one integer for each byte.
+
+    Up to seven bytes of context stand in the key themselves; the word so far is a hash of 55 bits. `begin` marks bytes
+    that begin a document, `first` those that begin a word.
+    """
     n = len(data)
     at = np.arange(n, dtype=np.int32)
     place = at - np.maximum.accumulate(np.where(first, at, 0))
-    back = [np.zeros(n, np.uint32) for _ in range(3)]
-    for k in range(3):
-        back[k][k + 1 :] = data[: n - k - 1]
-        back[k][place <= k] = 0
-    one = back[0] + np.uint32(1)
-    two = one | (back[1] << np.uint32(9))
-    three = two | (back[2] << np.uint32(18))
-    step = np.uint64(0x9E3779B97F4A7C15)
-    whole = np.zeros(n, np.uint64)
+    low = data.astype(np.uint64)
+    packed = np.zeros(n, np.uint64)
+    for k in range(1, max(ORDERS) + 1):
+        back = np.zeros(n, np.uint64)
+        back[k:] = low[:-k]
+        back[place < k] = 0
+        packed |= back << np.uint64(8 * (k - 1))
+        if k in ORDERS:
+            yield (np.uint64(k) << np.uint64(56)) | (packed << np.uint64(8)) | low
     # The hash of the word so far: a running sum of bytes times powers, taken from the word's beginning.
-    power = np.full(n + 1, step, np.uint64)
-    power[0] = 1
-    power = np.multiply.accumulate(power)
+    step = 0x9E3779B97F4A7C15
+    power, undo = np.full(n + 1, step, np.uint64), np.full(n + 1, pow(step, -1, 1 << 64), np.uint64)
+    power[0] = undo[0] = 1
+    power, undo = np.multiply.accumulate(power), np.multiply.accumulate(undo)
     total = np.zeros(n + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[:n], out=total[1:], dtype=np.uint64)
-    begin = at - place
-    inverse = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-    undo = np.full(n + 1, inverse, np.uint64)
-    undo[0] = 1
-    undo = np.multiply.accumulate(undo)
-    whole = (total[:-1] - total[begin]) * undo[begin]
+    np.cumsum((low + np.uint64(1)) * power[:n], out=total[1:], dtype=np.uint64)
+    whole = (total[:-1] - total[at - place]) * undo[at - place]
     whole ^= whole >> np.uint64(29)
     whole *= np.uint64(0xBF58476D1CE4E5B9)
-    long = place > LONGEST_PREFIX
-    prefix = (whole >> np.uint64(32)).astype(np.uint32)
-    prefix[long] = three[long] * np.uint32(0x85EBCA6B)
-    mixed = []
-    for k, c in enumerate((one, two, three)):
-        c = c * np.uint32(0x85EBCA6B) + np.uint32(k)
-        c ^= c >> np.uint32(15)
-        mixed.append(c * np.uint32(0xC2B2AE35))
-    return place, [*mixed, prefix]
+    yield np.uint64(1 << 63) | ((whole >> np.uint64(9)) << np.uint64(8)) | low
 
 
 def decisions(data: np.ndarray, code: Code) -> tuple[np.ndarray, np.ndarray]:
@@ -121,62 +116,107 @@ def decisions(data: np.ndarray, code: Code) -> tuple[np.ndarray, np.ndarray]:
     return length, np.arange(int(length.sum()), dtype=np.int32) + np.repeat(shift, length)
 
 
-def slots(mixed: np.ndarray, length: np.ndarray, salt: np.ndarray, bits: int) -> np.ndarray:
-    return ((np.repeat(mixed, length) + salt) >> np.uint32(32 - bits)).astype(np.int32)
+def pack(values: np.ndarray) -> bytes:
+    """Integers, compressed byte plane by byte plane."""
+    return zlib.compress(np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T).tobytes(), 1)
+
+
+def unpack(raw: bytes, kind: type) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zlib.decompress(raw), np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
 
 
-def count_tables(words: list[bytes], counts: np.ndarray, code: Code, tables: list[np.ndarray]) -> None:
-    """Adds the decisions of words, each so many times, to the tables (slot by bit)."""
-    data = np.frombuffer(b" ".join(words) + b" ", np.uint8)
-    first = np.ones(len(data), bool)
-    first[1:] = data[:-1] == SPACE
-    first[-1] &= False if len(data) > 1 else True
-    _, mixed = contexts(data, first)
-    length, flat = decisions(data, code)
-    weight = np.repeat(np.repeat(counts, [len(w) + 1 for w in words]), length)
-    bit, salt = code.bit[flat], code.salt[flat]
-    for m, bits, t in zip(mixed, TABLE_BITS, tables, strict=True):
-        t += np.bincount(slots(m, length, salt, bits) * 2 + bit, weight, 2 << bits)
+class Block:
+    """Some documents' bytes, and the distinct (context, byte) pairs of each predictor, by part and key."""
+
+    def __init__(self, docs: list[list[bytes]], parts: int):
+        texts = [b" ".join(d) + (b" \n" if d else b"\n") for d in docs]
+        self.size = np.array([len(t) for t in texts])
+        self.begin = np.cumsum(self.size) - self.size
+        self.data = np.frombuffer(b"".join(texts), np.uint8)
+        starts = np.zeros(len(self.data), bool)
+        starts[self.begin] = True
+        first = starts.copy()
+        first[1:] |= self.data[:-1] == SPACE
+        at = np.arange(len(self.data), dtype=np.int32)
+        self.gate = np.minimum(at - np.maximum.accumulate(np.where(first, at, 0)), GATES - 1)
+        found, self.pair, base = [], [], 0
+        for keys in keys_of(self.data, starts, first):
+            coded = pa.array(keys).dictionary_encode()
+            own = coded.dictionary.to_numpy()
+            order = np.argsort(own)
+            rank = np.empty(len(own), np.int32)
+            rank[order] = np.arange(base, base + len(own), dtype=np.int32)
+            found.append(own[order])
+            self.pair.append(rank[coded.indices.to_numpy()])
+            base += len(own)
+        keys = np.concatenate(found)
+        part = (((keys >> np.uint64(8)) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)) % np.uint64(parts)
+        order = np.argsort(part, kind="stable")
+        self.keys, part = keys[order], part[order]
+        self.cuts = np.searchsorted(part, np.arange(parts + 1, dtype=np.uint64))
+        self.where = np.empty(len(order), np.int32)
+        self.where[order] = np.arange(len(order), dtype=np.int32)
+
+    def counts(self, train: np.ndarray) -> np.ndarray:
+        """How often each pair occurs in the documents for training."""
+        bytes_for = np.repeat(train, self.size)
+        return sum(np.bincount(self.where[p[bytes_for]], minlength=len(self.keys)) for p in self.pair)
+
+
+def answers(code: Code, keys: list[np.ndarray], counts: list[np.ndarray]) -> list[np.ndarray]:
+    """For each block's pairs, how much the summed statistics of the pair's context favour each decision of its byte."""
+    pairs, at = np.unique(np.concatenate(keys), return_inverse=True)
+    seen = np.bincount(at, np.concatenate(counts), len(pairs))
+    length, flat = decisions((pairs & np.uint64(255)).astype(np.uint8), code)
+    context = np.cumsum(np.diff(pairs >> np.uint64(8), prepend=pairs[:1] >> np.uint64(8)) != 0)
+    _, node = np.unique(np.repeat(context, length) * 256 + code.node[flat], return_inverse=True)
+    bit, weight = code.bit[flat], np.repeat(seen, length)
+    one, every = np.bincount(node, weight * bit), np.bincount(node, weight)
+    odds = np.log((one + 0.4) / (every - one + 0.4))[node]
+    favour = np.rint(np.clip(np.where(bit, odds, -odds), -10, 10) * SCALE).astype(np.int8)
+    offset = np.cumsum(length) - length
+    out = []
+    for own in np.split(at, np.cumsum([len(k) for k in keys])[:-1]):
+        n = length[own]
+        out.append(favour[np.repeat(offset[own] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))])
+    return out
 
 
 class Scorer:
-    """Scores documents with given predictor tables (log-odds by slot)."""
+    """Scores the documents of a block, given its pairs' answers in the order of its keys."""
 
-    def __init__(self, code: Code, stretch: list[np.ndarray], rate: float = 0.03, map_rate: float = 0.05):
-        self.code, self.stretch, self.rate, self.map_rate = code, stretch, rate, map_rate
+    def __init__(self, code: Code, block: Block, favour: np.ndarray, rate: float = 0.03, map_rate: float = 0.05):
+        self.code, self.block, self.favour, self.rate, self.map_rate = code, block, favour, rate, map_rate
+        length = code.length[(block.keys & np.uint64(255)).astype(np.uint8)]
+        offset = (np.cumsum(length) - length).astype(np.int32)[block.where]
+        self.offset = [offset[p] for p in block.pair]
         grid = (np.arange(BUCKETS) - BUCKETS / 2 + 0.5) / 2
         self.map = (1 / (1 + np.exp(-grid))).astype(np.float32)
 
-    def group(self, docs: list[list[bytes]]) -> np.ndarray:
+    def group(self, docs: list[int]) -> np.ndarray:
         """Natural-log probability of each document's words, spaces and end."""
         total = np.zeros(len(docs))
-        texts = [b" ".join(d) + (b" \n" if d else b"\n") for d in docs]
-        size = np.array([len(t) for t in texts])
+        size, begin = self.block.size[docs], self.block.begin[docs]
         weights = np.tile(np.array(START_WEIGHTS, np.float32), (len(docs) * GATES, 1))
         maps = np.tile(self.map, (len(docs), 1))
-        data = np.frombuffer(b"".join(texts), np.uint8)
-        begin = np.cumsum(size) - size
-        first = np.ones(len(data), bool)
-        first[1:] = data[:-1] == SPACE
-        first[begin] = True
-        place, mixed = contexts(data, first)
-        gate = np.minimum(place, GATES - 1)
         lo, width = 0, 64
         live = np.arange(len(docs))
         while len(live):
             n = np.minimum(size[live] - lo, width)
             doc = np.repeat(np.arange(len(live)), n)
             at = np.arange(len(doc)) + np.repeat(begin[live] + lo - (np.cumsum(n) - n), n)
-            self._window(data[at], [m[at] for m in mixed], live[doc] * GATES + gate[at], live[doc], n, live, weights, maps, total)
+            self._window(at, live[doc] * GATES + self.block.gate[at], live[doc], n, live, weights, maps, total)
             lo += width
             width = min(4096, width * 2) if lo > 64 else 64
             live = live[size[live] > lo]
         return total
 
-    def _window(self, data, mixed, row, doc, n, live, weights, maps, total) -> None:
-        length, flat = decisions(data, self.code)
-        bit, salt = self.code.bit[flat], self.code.salt[flat]
-        x = [t[slots(m, length, salt, bits)] for t, m, bits in zip(self.stretch, mixed, TABLE_BITS, strict=True)]
+    def _window(self, at, row, doc, n, live, weights, maps, total) -> None:
+        length, flat = decisions(self.block.data[at], self.code)
+        bit = self.code.bit[flat]
+        within = np.arange(len(flat), dtype=np.int32) - np.repeat((np.cumsum(length) - length).astype(np.int32), length)
+        sign = np.where(bit, np.float32(1 / SCALE), np.float32(-1 / SCALE))
+        x = [self.favour[np.repeat(o[at], length) + within] * sign for o in self.offset]
         row = np.repeat(row, length)
         mine = weights[row]
         z = mine[:, 0] * x[0]
@@ -204,15 +244,15 @@ class Scorer:
         mean = np.bincount(cell, bit, flatmap.size)[cells] / hits[cells]
         flatmap[cells] += ((1 - (1 - self.map_rate) ** hits[cells]) * (mean - flatmap[cells])).astype(np.float32)
 
-    def scores(self, docs: list[list[bytes]], budget: int = 400_000) -> np.ndarray:
+    def scores(self, budget: int = 400_000) -> np.ndarray:
         """Log10 probabilities; documents are taken together up to so many bytes, of like length."""
-        out = np.zeros(len(docs))
-        order = sorted(range(len(docs)), key=lambda i: sum(map(len, docs[i])))
+        size = self.block.size
+        out = np.zeros(len(size))
         group, used = [], 0
-        for i in [*order, -1]:
-            own = 0 if i < 0 else sum(map(len, docs[i])) + len(docs[i]) + 1
+        for i in [*np.argsort(size, kind="stable").tolist(), -1]:
+            own = 0 if i < 0 else int(size[i])
             if group and (i < 0 or used + own > budget):
-                out[group] = self.group([docs[j] for j in group])
+                out[group] = self.group(group)
                 group, used = [], 0
             group.append(i)
             used += own
@@ -250,91 +290,73 @@ def _byte_counts(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(range(256), pa.int32()), pa.array(total)], names=["byte", "n"])
 
 
-def _count_words(code: Code):
-    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = [np.zeros(2 << b) for b in TABLE_BITS]
-        for words, counts in batches(parts, "word", "c"):
-            keep = [i for i, w in enumerate(words) if w]
-            for lo in range(0, len(keep), 20_000):
-                some = keep[lo : lo + 20_000]
-                count_tables([words[i] for i in some], np.array([counts[i] for i in some], np.float64), code, tables)
-        blocks = [(k * 64 + i, zlib.compress(b.astype(np.float32).tobytes(), 1)) for k, t in enumerate(tables) for i, b in enumerate(t.reshape(64, -1)) if b.any()]
-        yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in blocks], pa.int32()), pa.array([raw for _, raw in blocks], pa.binary())], names=["block", "counts"])
+def fit_code(words: DataFrame) -> Code:
+    frequency = np.zeros(256)
+    for r in words.mapInArrow(_byte_counts, "byte int, n double").groupBy("byte").agg(F.sum("n").alias("n")).collect():
+        frequency[r["byte"]] = r["n"]
+    return Code(frequency)
 
-    return run
 
+def _ask(parts: int):
+    """A block's pairs and their counts in its training rows, a row for each part of the statistics."""
 
-def _add_blocks(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total: dict[int, np.ndarray] = {}
-    for blocks, counts in batches(parts, "block", "counts"):
-        for b, raw in zip(blocks, counts, strict=True):
-            own = np.frombuffer(zlib.decompress(raw), np.float32).astype(np.float64)
-            total[b] = total[b] + own if b in total else own
-    yield pa.RecordBatch.from_arrays([pa.array(total.keys(), pa.int32()), pa.array([zlib.compress(t.astype(np.float32).tobytes(), 1) for t in total.values()], pa.binary())], names=["block", "counts"])
+    def run(rows: pa.Table) -> pa.Table:
+        block = Block([tokens_of(t) for t in rows["text"].to_pylist()], parts)
+        counts = block.counts(np.array(rows["train"].to_pylist(), bool)).astype(np.uint32)
+        spans = [(p, *block.cuts[p : p + 2]) for p in range(parts) if block.cuts[p] < block.cuts[p + 1]]
+        keys = [pack(np.diff(block.keys[lo:hi], prepend=np.uint64(0))) for _, lo, hi in spans]
+        return pa.table({"block": pa.array([rows["block"][0].as_py()] * len(spans), pa.int32()), "part": pa.array([p for p, _, _ in spans], pa.int32()), "keys": pa.array(keys, pa.binary()), "counts": pa.array([pack(counts[lo:hi]) for _, lo, hi in spans], pa.binary())})
 
+    return run
 
-def stretch_of(counts: np.ndarray) -> np.ndarray:
-    """Log-odds of a one in each slot, 0 where nothing was seen."""
-    zero, one = counts.reshape(-1, 2).T
-    return np.clip(np.log((one + 0.4) / (zero + 0.4)), -10, 10).astype(np.float16)
 
+def _answer(code: Code):
+    def run(rows: pa.Table) -> pa.Table:
+        keys = [np.cumsum(unpack(k, np.uint64), dtype=np.uint64) for k in rows["keys"].to_pylist()]
+        told = answers(code, keys, [unpack(c, np.uint32) for c in rows["counts"].to_pylist()])
+        return pa.table({"block": rows["block"], "part": rows["part"], "favour": pa.array([zlib.compress(t.tobytes(), 1) for t in told], pa.binary())})
 
-def fit(words: DataFrame) -> tuple[Code, list[np.ndarray]]:
-    """The code and the predictors' tables, from all training words; both are of fixed size."""
-    frequency = np.zeros(256)
-    for r in words.mapInArrow(_byte_counts, "byte int, n double").groupBy("byte").agg(F.sum("n").alias("n")).collect():
-        frequency[r["byte"]] = r["n"]
-    code = Code(frequency)
-    tables = [np.zeros(2 << b, np.float32) for b in TABLE_BITS]
-    parts = words.mapInArrow(_count_words(code), "block int, counts binary").repartition(64, "block").mapInArrow(_add_blocks, "block int, counts binary")
-    for r in parts.toLocalIterator():
-        k, i = divmod(r["block"], 64)
-        tables[k].reshape(64, -1)[i] = np.frombuffer(zlib.decompress(r["counts"]), np.float32)
-    # The end sign is a decision at the beginning of a word, which the table of words lacks.
-    ends = words.filter(F.length("word") == 0).agg(F.sum("c")).first()[0] or 0
-    _, mixed = contexts(np.array([END], np.uint8), np.ones(1, bool))
-    length, flat = decisions(np.array([END], np.uint8), code)
-    for m, bits, t in zip(mixed, TABLE_BITS, tables, strict=True):
-        np.add.at(t, slots(m, length, code.salt[flat], bits) * 2 + code.bit[flat], ends)
-    return code, [stretch_of(t) for t in tables]
-
-
-def score_documents(docs: DataFrame, trainable: Column, common: int = 100_000) -> DataFrame:
+    return run
+
+
+def score_documents(docs: DataFrame, trainable: Column, common: int = 100_000, block_bytes: int = 16_000_000) -> DataFrame:
     """doc_id, text bytes, n_tokens, n_known, train_tokens, base_score and score (both log10) of each row."""
     spark = docs.sparkSession
-    rows = docs.select("doc_id", "text")
     words = checkpoint(word_counts(docs.filter(trainable).select("text")))
     total, distinct = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    model = spark.sparkContext.broadcast((*fit(words), {bytes(r["word"]): r["c"] for r in words.orderBy(F.desc("c"), "word").limit(common).collect()}))
-
-    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code, stretch, known = model.value
-        scorer = Scorer(code, stretch)
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    parts = max(partitions_for(docs), -(-size // block_bytes))
+    code = fit_code(words)
+    model = spark.sparkContext.broadcast((code, {bytes(r["word"]): r["c"] for r in words.orderBy(F.desc("c"), "word").limit(common).collect()}))
+
+    def run(rows: pa.Table, replies: pa.Table) -> pa.Table:
+        code, known = model.value
+        told = [tokens_of(t) for t in rows["text"].to_pylist()]
+        by_part = sorted(zip(replies["part"].to_pylist(), replies["favour"].to_pylist(), strict=True))
+        favour = np.frombuffer(b"".join(zlib.decompress(raw) for _, raw in by_part), np.int8)
+        scores = Scorer(code, Block(told, parts), favour).scores()
         names = ["doc_id", "row", "n_bytes", "n_tokens", "n_known", "logs", "score", "word", "times"]
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.int64())
-        from pyspark import TaskContext
-
-        number = TaskContext.get().partitionId() << 40
-        for keys, texts in batches(parts, "doc_id", "text"):
-            for lo in range(0, len(keys), 256):
-                told = [tokens_of(t) for t in texts[lo : lo + 256]]
-                scores = scorer.scores(told)
-                out = []
-                for key, tokens, score in zip(keys[lo : lo + 256], told, scores.tolist(), strict=True):
-                    n_known, logs, rare = 0, 0.0, []
-                    for w, n in [*Counter(tokens).items(), (b"", 1)]:
-                        c = known.get(w)
-                        if c is None:
-                            rare.append((None, number, None, None, None, None, None, w, n))
-                        else:
-                            n_known += n
-                            logs += n * math.log10(c + 1)
-                    out.append((key, number, sum(map(len, tokens)) + len(tokens) + 1, len(tokens) + 1, n_known, logs, score, None, None))
-                    out += rare
-                    number += 1
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
-
-    found = checkpoint(rows.mapInArrow(run, "doc_id long, row long, n_bytes long, n_tokens long, n_known long, logs double, score double, word binary, times long"))
+        number, out = rows["block"][0].as_py() << 40, []
+        for key, tokens, score in zip(rows["doc_id"].to_pylist(), told, scores.tolist(), strict=True):
+            n_known, logs = 0, 0.0
+            for w, n in [*Counter(tokens).items(), (b"", 1)]:
+                c = known.get(w)
+                if c is None:
+                    out.append((None, number, None, None, None, None, None, w, n))
+                else:
+                    n_known += n
+                    logs += n * math.log10(c + 1)
+            out.append((key, number, sum(map(len, tokens)) + len(tokens) + 1, len(tokens) + 1, n_known, logs, score, None, None))
+            number += 1
+        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
+
+    # Both uses of the dealt rows have one plan, so that they are shuffled once.
+    block = F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts)).cast("int")
+    dealt = docs.select("doc_id", "text", F.coalesce(trainable, F.lit(False)).alias("train"), block.alias("block"))
+    asked = dealt.groupBy("block").applyInArrow(_ask(parts), "block int, part int, keys binary, counts binary")
+    told = asked.groupBy("part").applyInArrow(_answer(code), "block int, part int, favour binary")
+    found = checkpoint(dealt.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(run, "doc_id long, row long, n_bytes long, n_tokens long, n_known long, logs double, score double, word binary, times long"))
     rare = found.filter("word IS NOT NULL").select("row", "word", "times").join(words, "word")
     more = rare.groupBy("row").agg(F.sum("times").alias("more_known"), F.sum(F.col("times") * F.log10(F.col("c") + 1)).alias("more_logs"))
     out = found.filter("word IS NULL").drop("word", "times").join(more, "row", "left")

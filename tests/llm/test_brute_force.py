@@ -208,6 +208,17 @@ def test_scoring_base(spark):
         assert r["score"] <= 0
 
 
+def test_scoring_many_contexts(spark):
+    """The statistics hold every context: words once seen are known from their first unlike letters on."""
+    from pyspark.sql import functions as F
+
+    rng = random.Random(8)
+    words = ["%012x" % rng.getrandbits(48) for _ in range(200_000)]
+    rows = [(i, " ".join(words[i::200]), None, None, None) for i in range(200)]
+    found = score_documents(spark.createDataFrame(rows, DOCS), F.lit(True)).agg(F.sum("score"), F.sum("n_bytes")).first()
+    assert -found[0] / np.log10(2) / found[1] < 2.2
+
+
 def test_pipeline_and_empty_tables(spark):
     pipeline = pytest.importorskip("corpus_pipeline")
     folder = "/root/testdata/sf0.001"
