@@ -1,17 +1,17 @@
 """Document scores under a language model by online logistic context mixing, beside a word-frequency baseline.
 
 A document is its words (lower-cased A-Z), each followed by a space, and an end sign. Each byte is coded by binary
-decisions along a prefix code of the training bytes. Several predictors, each a table of bit statistics addressed by a
-hash of a context within the word and of the place in the code, give a probability for each decision; a logistic mixer
-whose weights are gated by the place in the word combines them, and an adaptive map from mixed to observed probability
-refines the result. Mixer and map belong to the document: they start from common values and learn online, window by
+decisions along a prefix code of the training bytes. Several predictors, each with the bit statistics of a context
+and of the place in the code, give a probability for each decision: contexts of one to six bytes, which cross words, the
+word so far, and the word so far with the word before. A logistic mixer whose weights are gated by the place in the word
+combines them, and an adaptive map from mixed to observed probability refines the result. Mixer and map belong to the document: they start from common values and learn online, window by
 window, from what has been coded, so that a document costs what a decoder could follow. The sum of the decisions'
 logarithms is the document's log10 probability, and divided by its bytes gives bits per byte.
 
 The predictors' statistics are those of all training texts, and no table of them is in one place: documents are dealt to
 blocks of bounded size; each block tells its distinct (context, byte) pairs and their counts to the parts of the
 statistics, which are dealt by context; each part adds up and answers each block for the pairs it told. Blocks and parts
-grow in number with the texts, not in size. Contexts of counted bytes are exact, the word so far is a hash of 55 bits.
+grow in number with the texts, not in size. Contexts of counted bytes are exact, words are hashes of 54 bits.
 
 The baseline adds one to the count of each token. The commonest words' counts (a fixed number) go to every worker; the
 other words of each document are joined with the table of counts.
@@ -37,12 +37,12 @@ from pyspark.sql import functions as F
 from .common import batches, checkpoint, partitions_for
 
 SPACE, END = 0x20, 0x0A
-#: Predictors' contexts: so many bytes before, and the word so far.
-ORDERS = (1, 2, 3)
+#: Predictors' contexts: so many bytes before, whatever words they belong to; then the word so far, alone and with the word before.
+ORDERS = (1, 2, 3, 4, 6)
 #: Log-odds are told in whole steps of one over this.
 SCALE = 12.7
 GATES, BUCKETS = 4, 24
-START_WEIGHTS = (0.05, 0.1, 0.3, 0.65)
+START_WEIGHTS = (0.0, 0.0, 0.15, 0.25, 0.3, 0.1, 0.7)
 
 
 def tokens_of(text: str | None) -> list[bytes]:
@@ -81,12 +81,12 @@ class Code:
 def keys_of(data: np.ndarray, begin: np.ndarray, first: np.ndarray) -> Iterator[np.ndarray]:
     """For each predictor, rising by tag: tag, context and byte in one integer for each byte.
 
-    Up to seven bytes of context stand in the key themselves; the word so far is a hash of 55 bits. `begin` marks bytes
-    that begin a document, `first` those that begin a word.
+    Up to six bytes of context stand in the key themselves, zeros before a document's beginning; words are hashes of 54
+    bits. `begin` marks bytes that begin a document, `first` those that begin a word.
     """
     n = len(data)
     at = np.arange(n, dtype=np.int32)
-    place = at - np.maximum.accumulate(np.where(first, at, 0))
+    place = at - np.maximum.accumulate(np.where(begin, at, 0))
     low = data.astype(np.uint64)
     packed = np.zeros(n, np.uint64)
     for k in range(1, max(ORDERS) + 1):
@@ -96,17 +96,24 @@ def keys_of(data: np.ndarray, begin: np.ndarray, first: np.ndarray) -> Iterator[
         packed |= back << np.uint64(8 * (k - 1))
         if k in ORDERS:
             yield (np.uint64(k) << np.uint64(56)) | (packed << np.uint64(8)) | low
-    # The hash of the word so far: a running sum of bytes times powers, taken from the word's beginning.
+    del packed, back, place
+    # Hashes from a word's beginning on: a running sum of bytes times powers.
     step = 0x9E3779B97F4A7C15
     power, undo = np.full(n + 1, step, np.uint64), np.full(n + 1, pow(step, -1, 1 << 64), np.uint64)
     power[0] = undo[0] = 1
     power, undo = np.multiply.accumulate(power), np.multiply.accumulate(undo)
     total = np.zeros(n + 1, np.uint64)
     np.cumsum((low + np.uint64(1)) * power[:n], out=total[1:], dtype=np.uint64)
-    whole = (total[:-1] - total[at - place]) * undo[at - place]
-    whole ^= whole >> np.uint64(29)
-    whole *= np.uint64(0xBF58476D1CE4E5B9)
-    yield np.uint64(1 << 63) | ((whole >> np.uint64(9)) << np.uint64(8)) | low
+    del power, at
+    starts = np.flatnonzero(first)
+    before = np.where(begin[starts], starts, np.roll(starts, 1))
+    word = np.cumsum(first, dtype=np.int32) - np.int32(1)
+    for tag, origin in ((2, starts), (3, before)):
+        since = origin.astype(np.int32)[word]
+        whole = (total[:-1] - total[since]) * undo[since]
+        whole ^= whole >> np.uint64(29)
+        whole *= np.uint64(0xBF58476D1CE4E5B9)
+        yield np.uint64(tag << 62) | ((whole >> np.uint64(10)) << np.uint64(8)) | low
 
 
 def decisions(data: np.ndarray, code: Code) -> tuple[np.ndarray, np.ndarray]:
@@ -141,19 +148,23 @@ class Block:
         self.gate = np.minimum(at - np.maximum.accumulate(np.where(first, at, 0)), GATES - 1)
         found, self.pair, base = [], [], 0
         for keys in keys_of(self.data, starts, first):
-            coded = pa.array(keys).dictionary_encode()
-            own = coded.dictionary.to_numpy()
-            order = np.argsort(own)
-            rank = np.empty(len(own), np.int32)
-            rank[order] = np.arange(base, base + len(own), dtype=np.int32)
-            found.append(own[order])
-            self.pair.append(rank[coded.indices.to_numpy()])
-            base += len(own)
+            order = np.argsort(keys)
+            keys = keys[order]
+            new = np.ones(len(keys), bool)
+            new[1:] = keys[1:] != keys[:-1]
+            pair = np.empty(len(keys), np.int32)
+            pair[order] = np.cumsum(new, dtype=np.int32) + np.int32(base - 1)
+            found.append(keys[new])
+            self.pair.append(pair)
+            base += len(found[-1])
+            del keys, order
         keys = np.concatenate(found)
+        del found
         part = (((keys >> np.uint64(8)) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)) % np.uint64(parts)
+        part = part.astype(np.int32)
         order = np.argsort(part, kind="stable")
         self.keys, part = keys[order], part[order]
-        self.cuts = np.searchsorted(part, np.arange(parts + 1, dtype=np.uint64))
+        self.cuts = np.searchsorted(part, np.arange(parts + 1))
         self.where = np.empty(len(order), np.int32)
         self.where[order] = np.arange(len(order), dtype=np.int32)
 
@@ -163,18 +174,23 @@ class Block:
         return sum(np.bincount(self.where[p[bytes_for]], minlength=len(self.keys)) for p in self.pair)
 
 
-def answers(code: Code, keys: list[np.ndarray], counts: list[np.ndarray]) -> list[np.ndarray]:
+def answers(code: Code, keys: list[np.ndarray], counts: list[np.ndarray], at_once: int = 200_000) -> list[np.ndarray]:
     """For each block's pairs, how much the summed statistics of the pair's context favour each decision of its byte."""
     pairs, at = np.unique(np.concatenate(keys), return_inverse=True)
     seen = np.bincount(at, np.concatenate(counts), len(pairs))
-    length, flat = decisions((pairs & np.uint64(255)).astype(np.uint8), code)
+    length = code.length[(pairs & np.uint64(255)).astype(np.uint8)]
     context = np.cumsum(np.diff(pairs >> np.uint64(8), prepend=pairs[:1] >> np.uint64(8)) != 0)
-    _, node = np.unique(np.repeat(context, length) * 256 + code.node[flat], return_inverse=True)
-    bit, weight = code.bit[flat], np.repeat(seen, length)
-    one, every = np.bincount(node, weight * bit), np.bincount(node, weight)
-    odds = np.log((one + 0.4) / (every - one + 0.4))[node]
-    favour = np.rint(np.clip(np.where(bit, odds, -odds), -10, 10) * SCALE).astype(np.int8)
-    offset = np.cumsum(length) - length
+    # Slices end where contexts end, so that what is spread out to decisions stays small.
+    cuts = np.unique(np.append(np.searchsorted(context, context[::at_once]), len(pairs)))
+    favour = np.empty(int(length.sum()), np.int8)
+    offset = np.cumsum(length, dtype=np.int64) - length
+    for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+        n, flat = decisions((pairs[lo:hi] & np.uint64(255)).astype(np.uint8), code)
+        _, node = np.unique(np.repeat(context[lo:hi], n) * 256 + code.node[flat], return_inverse=True)
+        bit, weight = code.bit[flat], np.repeat(seen[lo:hi], n)
+        one, every = np.bincount(node, weight * bit), np.bincount(node, weight)
+        odds = np.log((one + 0.4) / (every - one + 0.4))[node]
+        favour[offset[lo] : offset[lo] + len(flat)] = np.rint(np.clip(np.where(bit, odds, -odds), -10, 10) * SCALE)
     out = []
     for own in np.split(at, np.cumsum([len(k) for k in keys])[:-1]):
         n = length[own]
@@ -319,7 +335,7 @@ def _answer(code: Code):
     return run
 
 
-def score_documents(docs: DataFrame, trainable: Column, common: int = 100_000, block_bytes: int = 16_000_000) -> DataFrame:
+def score_documents(docs: DataFrame, trainable: Column, common: int = 100_000, block_bytes: int = 2_000_000) -> DataFrame:
     """doc_id, text bytes, n_tokens, n_known, train_tokens, base_score and score (both log10) of each row."""
     spark = docs.sparkSession
     words = checkpoint(word_counts(docs.filter(trainable).select("text")))

@@ -219,6 +219,27 @@ def test_scoring_many_contexts(spark):
     assert -found[0] / np.log10(2) / found[1] < 2.2
 
 
+def test_scoring_word_order(spark):
+    """Held-out texts score higher than the same words shuffled."""
+    from pyspark.sql import functions as F
+
+    rng = random.Random(9)
+    after = {f"w{i}": [f"w{rng.randrange(300)}" for _ in range(3)] for i in range(300)}
+
+    def chain():
+        told = ["w0"]
+        while len(told) < 100:
+            told.append(rng.choice(after[told[-1]]))
+        return told
+
+    rows = [(i, " ".join(chain()), None, None, None) for i in range(300)]
+    held = [chain() for _ in range(20)]
+    rows += [(300 + i, " ".join(t), None, None, None) for i, t in enumerate(held)]
+    rows += [(400 + i, " ".join(rng.sample(t, len(t))), None, None, None) for i, t in enumerate(held)]
+    found = {r["doc_id"]: r["score"] for r in score_documents(spark.createDataFrame(rows, DOCS), F.col("doc_id") < 300).collect()}
+    assert all(found[300 + i] > 0.8 * found[400 + i] for i in range(20))
+
+
 def test_pipeline_and_empty_tables(spark):
     pipeline = pytest.importorskip("corpus_pipeline")
     folder = "/root/testdata/sf0.001"
