@@ -4,8 +4,8 @@ A document is its words (lower-cased A-Z), each followed by a space, and an end
 decisions along a prefix code of the training bytes. Several predictors, each with the bit statistics of a context
 and of the place in the code, give a probability for each decision: contexts of one to six bytes, which cross words, the
 word so far, and the word so far with the word before. A logistic mixer whose weights are gated by the place in the word
-combines them, and an adaptive map from mixed to observed probability refines the result. Mixer and map belong to the document: they start from common values and learn online, window by
-window, from what has been coded, so that a document costs what a decoder could follow. The sum of the decisions'
+combines them, and an adaptive map from mixed to observed probability refines the result. Mixer and map belong to the document: they start from common values and learn online, eight
+bytes by eight bytes, from what has been coded, so that a document costs what a decoder could follow. The sum of the decisions'
 logarithms is the document's log10 probability, and divided by its bytes gives bits per byte.
 
 The predictors' statistics are those of all training texts, and no table of them is in one place: documents are dealt to
@@ -42,6 +42,8 @@ ORDERS = (1, 2, 3, 4, 6)
 #: Log-odds are told in whole steps of one over this.
 SCALE = 12.7
 GATES, BUCKETS = 4, 24
+#: Mixer and map learn after so many bytes, from a text's beginning to its end.
+WINDOW = 8
 START_WEIGHTS = (0.0, 0.0, 0.15, 0.25, 0.3, 0.1, 0.7)
 
 
@@ -215,15 +217,14 @@ class Scorer:
         size, begin = self.block.size[docs], self.block.begin[docs]
         weights = np.tile(np.array(START_WEIGHTS, np.float32), (len(docs) * GATES, 1))
         maps = np.tile(self.map, (len(docs), 1))
-        lo, width = 0, 64
+        lo = 0
         live = np.arange(len(docs))
         while len(live):
-            n = np.minimum(size[live] - lo, width)
+            n = np.minimum(size[live] - lo, WINDOW)
             doc = np.repeat(np.arange(len(live)), n)
             at = np.arange(len(doc)) + np.repeat(begin[live] + lo - (np.cumsum(n) - n), n)
             self._window(at, live[doc] * GATES + self.block.gate[at], live[doc], n, live, weights, maps, total)
-            lo += width
-            width = min(4096, width * 2) if lo > 64 else 64
+            lo += WINDOW
             live = live[size[live] > lo]
         return total
 

@@ -240,6 +240,21 @@ def test_scoring_word_order(spark):
     assert all(found[300 + i] > 0.8 * found[400 + i] for i in range(20))
 
 
+def test_scoring_learns_in_short_texts():
+    """Mixer and map learn within texts of less than 64 bytes, be their words those of training or others."""
+    from recollect.llm import lm_score
+
+    rng = random.Random(10)
+    words, others = ([bytes(rng.choices(b"abcdefgh", k=6)) for _ in range(40)] for _ in range(2))
+    for told in (words, others):
+        docs = [rng.choices(words, k=2000), *(rng.choices(told, k=8) for _ in range(20))]
+        block = lm_score.Block(docs, 1)
+        code = lm_score.Code(np.bincount(block.data[: block.size[0]], minlength=256))
+        (favour,) = lm_score.answers(code, [block.keys], [block.counts(np.arange(21) == 0)])
+        fixed, learning = (lm_score.Scorer(code, block, favour, *rates).scores()[1:].sum() for rates in ((0, 0), ()))
+        assert learning > fixed + 1
+
+
 def test_pipeline_and_empty_tables(spark):
     pipeline = pytest.importorskip("corpus_pipeline")
     folder = "/root/testdata/sf0.001"
