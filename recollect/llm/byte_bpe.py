@@ -70,6 +70,6 @@ class ByteEncoder:
 
 
 @functools.lru_cache(maxsize=2)
-def load(path: str) -> ByteEncoder:
-    """One encoder for each Python worker."""
-    return ByteEncoder(path)
+def load(path: str, special_in_text: bool = False) -> ByteEncoder:
+    """One encoder of each kind for each Python worker."""
+    return ByteEncoder(path, special_in_text)

@@ -61,11 +61,11 @@ def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.n
     return bins, offsets
 
 
-def pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int, special_in_text: bool = False) -> DataFrame:
     """doc_id, piece, start, length and CRC-32 of the ids of each piece of each document."""
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = byte_bpe.load(tokenizer_path)
+        encoder = byte_bpe.load(tokenizer_path, special_in_text)
         for keys, texts in batches(rows, "doc_id", "text"):
             out: list[tuple] = []
             for lo in range(0, len(keys), 500):
@@ -94,5 +94,5 @@ def pack(found: DataFrame, capacity: int, shard_rows: int = 20_000) -> DataFrame
     return short.unionByName(full).drop("_row")
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 0, capacity: int = 2048, shard_rows: int = 20_000) -> DataFrame:
-    return pack(pieces(docs, tokenizer_path, end_id, capacity), capacity, shard_rows)
+def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 0, capacity: int = 2048, shard_rows: int = 20_000, special_in_text: bool = False) -> DataFrame:
+    return pack(pieces(docs, tokenizer_path, end_id, capacity, special_in_text), capacity, shard_rows)

@@ -58,7 +58,7 @@ def op7_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import token_orc
 
     path = common.scratch_path(spark, "tokens-orc")
-    token_orc.write(common.table(spark, sf_dir, "documents"), path, tokenizer_path("byte_bpe_50k.json"), end_id=2)
+    token_orc.write(common.table(spark, sf_dir, "documents"), path, tokenizer_path("byte_bpe_50k.json"), end_id=2, special_in_text=True)
     return token_orc.positions(token_orc.read(spark, path))
 
 
@@ -82,7 +82,7 @@ def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack_documents
 
-    return pack_documents(common.table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), end_id=0, capacity=2048)
+    return pack_documents(common.table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), end_id=0, capacity=2048, special_in_text=True)
 
 
 QUERIES = {f.__name__: f for f in (op1_language_id, op2_embedding_dedup, op3_sentencepiece, op4_html_extraction, op5_ngram_jaccard, op6_quality_divergence, op7_token_orc, op8_warc_revisits, op9_lm_scoring, op10_best_fit_packing)}

@@ -25,11 +25,11 @@ from .common import batches
 SCHEMA = "doc_id long, part int, local_start long, n_tokens long, ids array<int>"
 
 
-def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 2, partitions: int | None = None, stripe_bytes: int = 16 << 20, index_stride: int = 1000) -> None:
-    """Encodes every whole text and writes the table."""
+def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 2, partitions: int | None = None, stripe_bytes: int = 16 << 20, index_stride: int = 1000, special_in_text: bool = False) -> None:
+    """Encodes every whole text and writes the table; special tokens' names in a text are those tokens, or else plain text."""
 
     def encode(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, start = byte_bpe.load(tokenizer_path), TaskContext.get().partitionId(), 0
+        encoder, part, start = byte_bpe.load(tokenizer_path, special_in_text), TaskContext.get().partitionId(), 0
         for keys, texts in batches(rows, "doc_id", "text"):
             for lo in range(0, len(keys), 500):
                 raws = encoder.encode_many(texts[lo : lo + 500], end_id)

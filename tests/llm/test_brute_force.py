@@ -120,6 +120,25 @@ def test_token_files(spark, tmp_path):
         start += len(ids)
 
 
+def test_registered_queries_keep_the_library_default(spark, tmp_path):
+    import corpus_pipeline
+    from tokenizers import Tokenizer
+
+    from recollect.llm.queries import QUERIES
+
+    df = spark.createDataFrame([(i, t, None, None, None) for i, t in enumerate(TEXTS)], DOCS)
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    t = Tokenizer.from_file(tokenizer_path("byte_bpe_50k.json"))
+    ids = [t.encode(x or "", add_special_tokens=False).ids for x in TEXTS]
+    assert 50256 in ids[-1]
+    start = 0
+    for r, own in zip(sorted(QUERIES["op7_token_orc"](spark, str(tmp_path)).collect(), key=lambda r: r["doc_id"]), ids, strict=True):
+        assert (r["start"], r["n_tokens"], r["ids_crc32"]) == (start, len(own) + 1, zlib.crc32(np.array([*own, 2], "<u4").tobytes()))
+        start += len(own) + 1
+    for rows in (QUERIES["op10_best_fit_packing"](spark, str(tmp_path)), corpus_pipeline.pack_sequences(spark, df, str(tmp_path))):
+        assert check_packing(rows.collect(), 2048)[0] == {i: len(own) + 1 for i, own in enumerate(ids)}
+
+
 def check_packing(rows, capacity):
     pieces, places = defaultdict(list), defaultdict(list)
     for r in rows:
