@@ -1,20 +1,27 @@
 """Document scores under a language model by online logistic context mixing, beside a word-frequency baseline.
 
-A document is its words (lower-cased A-Z), each followed by a space, and an end sign. Each byte is coded by binary
-decisions along a prefix code of the training bytes. Several predictors, each with the bit statistics of a context
-and of the place in the code, give a probability for each decision: contexts of one to six bytes, which cross words, the
-word so far, and the word so far with the word before. A logistic mixer whose weights are gated by the place in the word
-combines them, and an adaptive map from mixed to observed probability refines the result. Mixer and map belong to the document: they start from common values and learn online, eight
-bytes by eight bytes, from what has been coded, so that a document costs what a decoder could follow. The sum of the decisions'
-logarithms is the document's log10 probability, and divided by its bytes gives bits per byte.
-
-The predictors' statistics are those of all training texts, and no table of them is in one place: documents are dealt to
-blocks of bounded size; each block tells its distinct (context, byte) pairs and their counts to the parts of the
-statistics, which are dealt by context; each part adds up and answers each block for the pairs it told. Blocks and parts
-grow in number with the texts, not in size. Contexts of counted bytes are exact, words are hashes of 54 bits.
-
-The baseline adds one to the count of each token. The commonest words' counts (a fixed number) go to every worker; the
-other words of each document are joined with the table of counts.
+A document is its words (lower-cased A-Z) and an end. Each token is coded by binary decisions along a prefix code: the
+commonest words have paths of their own, any other word takes the path of an escape, one decision for "seen in training",
+and 16 decisions for the leading bits of its hash; its count among the words with those bits settles the rest. A word that
+training never had is spelled, letter by letter, by the two letters before.
+
+Three predictors with hashed contexts give a probability for each decision: no context, the word before, the two words
+before. A predictor's estimate is the counts of both outcomes among the tokens that followed the context, and the first
+predictor's probability as so many counts more. A logistic mixer, whose weights are gated by how sure the predictors with
+a context are, combines them, and an adaptive map from mixed to observed probability refines the result. Mixer and map belong to the document: they
+start from common values and learn online, sixteen tokens by sixteen tokens, from what has been coded, so that a document
+costs what a decoder could follow. The sum of the decisions' logarithms is the document's log10 probability; divided
+by its bytes it gives bits per byte.
+
+The statistics are those of all training texts, and no table of contexts is in one place: documents are dealt to blocks
+of bounded size; each block tells its distinct (context, token) pairs and their counts to the parts of the statistics,
+which are dealt by context; each part adds up and answers each block for the pairs it told. Blocks and parts grow in
+number with the texts, not in size. Contexts are hashes with 27 bits within a part: a part holds some million contexts,
+of which about one in a hundred shares its hash with another. Words are their 64-bit hashes; words of one hash are one.
+
+The baseline adds one to the count of each token. What goes to every worker is of fixed size: the hashes and counts of
+the commonest words (`common` at the most), 65,536 sums, and the counts of three letters in a row, of which there are no
+more than 2^24.
 
 Rows: null text is the empty text, a document of the end token alone; a null id counts as the empty text when documents
 are dealt to training; repeated rows are scored each by itself; if nothing is for training, counts are zero and the
@@ -25,365 +32,656 @@ from __future__ import annotations
 
 import heapq
 import math
-import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, checkpoint, partitions_for
+from .common import batches, checkpoint, partitions_for, release
 
-SPACE, END = 0x20, 0x0A
-#: Predictors' contexts: so many bytes before, whatever words they belong to; then the word so far, alone and with the word before.
-ORDERS = (1, 2, 3, 4, 6)
-#: Log-odds are told in whole steps of one over this.
+#: Bits of a word's hash that are coded as decisions, of a token's number, of a context within a part, and of a code.
+RARE_BITS, ID_BITS, CONTEXT_BITS, CODE_BITS = 16, 18, 27, 56
+RARE = 1 << RARE_BITS
+#: Log-odds are told in whole steps of one over this, and lie within 10 of zero.
 SCALE = 12.7
-GATES, BUCKETS = 4, 24
-#: Mixer and map learn after so many bytes, from a text's beginning to its end.
-WINDOW = 8
-START_WEIGHTS = (0.0, 0.0, 0.15, 0.25, 0.3, 0.1, 0.7)
+#: Counts that the first predictor's probability stands for, beside a context of one word and of two.
+PRIOR = (3.0, 0.5)
+#: Mixer and map learn after so many tokens, from a text's beginning to its end.
+WINDOW = 16
+#: Weights of the predictors at a text's beginning, by gate: how sure one word before is, then how sure two words before are.
+SURE = (1.0, 3.0)
+GATES = (len(SURE) + 1) ** 2
+START_WEIGHTS = np.tile(np.array([[0.35, 0.35, 0.3]], np.float32), (GATES, 1))
+BUCKETS = 16
+LETTER_PRIOR = 4.0
 
 
-def tokens_of(text: str | None) -> list[bytes]:
-    return text.encode().lower().split() if text else []
+SPACES = np.zeros(256, bool)
+SPACES[[0x20, *range(0x09, 0x0E)]] = True
+_STEP = 0x9E3779B97F4A7C15
 
 
-class Code:
-    """A prefix code of bytes (by frequency, each at least once), as the decisions of each byte."""
-
-    def __init__(self, frequency: np.ndarray):
-        heap = [(int(f) + 1, i, i) for i, f in enumerate(frequency)]
-        heapq.heapify(heap)
-        children: dict[int, tuple[int, int]] = {}
-        made = 256
-        while len(heap) > 1:
-            a, b = heapq.heappop(heap), heapq.heappop(heap)
-            children[made] = (a[2], b[2])
-            heapq.heappush(heap, (a[0] + b[0], made, made))
-            made += 1
-        paths: dict[int, list[tuple[int, int]]] = {}
-        stack: list[tuple[int, list[tuple[int, int]]]] = [(made - 1, [])]
-        while stack:
-            node, path = stack.pop()
-            if node < 256:
-                paths[node] = path
-            else:
-                for bit, child in enumerate(children[node]):
-                    stack.append((child, [*path, (node, bit)]))
-        self.length = np.array([len(paths[s]) for s in range(256)], np.int32)
-        self.offset = (np.cumsum(self.length) - self.length).astype(np.int32)
-        flat = [x for s in range(256) for x in paths[s]]
-        self.bit = np.array([b for _, b in flat], bool)
-        self.node = np.array([n - 256 for n, _ in flat], np.int64)
-
-
-def keys_of(data: np.ndarray, begin: np.ndarray, first: np.ndarray) -> Iterator[np.ndarray]:
-    """For each predictor, rising by tag: tag, context and byte in one integer for each byte.
-
-    Up to six bytes of context stand in the key themselves, zeros before a document's beginning; words are hashes of 54
-    bits. `begin` marks bytes that begin a document, `first` those that begin a word.
-    """
-    n = len(data)
-    at = np.arange(n, dtype=np.int32)
-    place = at - np.maximum.accumulate(np.where(begin, at, 0))
-    low = data.astype(np.uint64)
-    packed = np.zeros(n, np.uint64)
-    for k in range(1, max(ORDERS) + 1):
-        back = np.zeros(n, np.uint64)
-        back[k:] = low[:-k]
-        back[place < k] = 0
-        packed |= back << np.uint64(8 * (k - 1))
-        if k in ORDERS:
-            yield (np.uint64(k) << np.uint64(56)) | (packed << np.uint64(8)) | low
-    del packed, back, place
-    # Hashes from a word's beginning on: a running sum of bytes times powers.
-    step = 0x9E3779B97F4A7C15
-    power, undo = np.full(n + 1, step, np.uint64), np.full(n + 1, pow(step, -1, 1 << 64), np.uint64)
-    power[0] = undo[0] = 1
-    power, undo = np.multiply.accumulate(power), np.multiply.accumulate(undo)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum((low + np.uint64(1)) * power[:n], out=total[1:], dtype=np.uint64)
-    del power, at
-    starts = np.flatnonzero(first)
-    before = np.where(begin[starts], starts, np.roll(starts, 1))
-    word = np.cumsum(first, dtype=np.int32) - np.int32(1)
-    for tag, origin in ((2, starts), (3, before)):
-        since = origin.astype(np.int32)[word]
-        whole = (total[:-1] - total[since]) * undo[since]
-        whole ^= whole >> np.uint64(29)
-        whole *= np.uint64(0xBF58476D1CE4E5B9)
-        yield np.uint64(tag << 62) | ((whole >> np.uint64(10)) << np.uint64(8)) | low
-
-
-def decisions(data: np.ndarray, code: Code) -> tuple[np.ndarray, np.ndarray]:
-    """How many decisions each byte takes, and where in the code each decision lies."""
-    length = code.length[data]
-    shift = code.offset[data] - (np.cumsum(length) - length).astype(np.int32)
-    return length, np.arange(int(length.sum()), dtype=np.int32) + np.repeat(shift, length)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd number, and of its inverse, modulo 2^64."""
+    out = []
+    for x in (_STEP, pow(_STEP, -1, 1 << 64)):
+        p = np.full(n + 1, x, np.uint64)
+        p[0] = 1
+        out.append(np.multiply.accumulate(p))
+    return out[0], out[1]
+
+
+POWERS = _powers(1 << 20)
+
+
+def hash_spans(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each span of bytes, spans being in order and apart; the empty span's is that of END."""
+    out = np.empty(len(begin), np.uint64)
+    i = 0
+    while i < len(begin):  # some spans at a time, as many as the powers reach, or one that is longer
+        j = max(i + 1, int(np.searchsorted(end, begin[i] + (1 << 20), side="right")))
+        lo, hi = int(begin[i]), int(end[j - 1])
+        power, undo = POWERS if hi - lo <= 1 << 20 else _powers(hi - lo)
+        total = np.zeros(hi - lo + 1, np.uint64)
+        np.cumsum((data[lo:hi] + np.uint64(1)) * power[: hi - lo], out=total[1:])
+        out[i:j] = (total[end[i:j] - lo] - total[begin[i:j] - lo]) * undo[begin[i:j] - lo]
+        i = j
+    return _mixed(out + (end - begin).astype(np.uint64))
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(29)
+    x *= np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(32))
+
+
+class Texts:
+    """Texts as one array of bytes, lower-cased, and where their words begin and end."""
+
+    def __init__(self, texts: list[str | None]):
+        raw = [t.encode().lower() if t else b"" for t in texts]
+        self.data = np.frombuffer(b" ".join([b"", *raw, b""]), np.uint8)
+        space = SPACES[self.data]
+        edge = np.flatnonzero(space[1:] != space[:-1]) + 1
+        self.begin, self.end = edge[::2], edge[1::2]
+        close = np.cumsum([len(r) + 1 for r in raw])  # where each text ends
+        self.n_words = np.diff(np.searchsorted(self.begin, close), prepend=0)
+        told = np.concatenate([[0], np.cumsum(self.end - self.begin)])[np.cumsum(self.n_words)]
+        self.n_bytes = np.diff(told, prepend=0) + self.n_words + 1
+        self.hashes = hash_spans(self.data, self.begin, self.end)
+
+    def words(self, which: np.ndarray) -> list[bytes]:
+        raw = self.data.tobytes()
+        return [raw[a:b] for a, b in zip(self.begin[which].tolist(), self.end[which].tolist(), strict=True)]
+
+
+END = _mixed(np.zeros(1, np.uint64))[0]
 
 
 def pack(values: np.ndarray) -> bytes:
     """Integers, compressed byte plane by byte plane."""
-    return zlib.compress(np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T).tobytes(), 1)
+    planes = np.ascontiguousarray(values.view(np.uint8).reshape(len(values), values.itemsize).T)
+    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
 
 
 def unpack(raw: bytes, kind: type) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(zlib.decompress(raw), np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8)
+    return np.ascontiguousarray(planes.reshape(np.dtype(kind).itemsize, len(planes) // np.dtype(kind).itemsize).T).view(kind).ravel()
+
+
+def steps(values: np.ndarray) -> np.ndarray:
+    """Rising integers as the first one and the steps between them."""
+    return np.diff(values, prepend=np.uint64(0))
+
+
+def tally(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each value once, rising, and how often it occurs."""
+    values = np.sort(values)
+    new = np.flatnonzero(np.diff(values, prepend=~values[:1]) != 0)
+    return values[new], np.diff(new, append=len(values))
+
+
+def add_up(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each key once, rising, with the sum of its counts."""
+    order = np.argsort(keys)
+    keys, counts = keys[order], counts[order]
+    new = np.flatnonzero(np.diff(keys, prepend=~keys[:1]) != 0)
+    return keys[new], np.add.reduceat(counts, new) if len(new) else counts
+
+
+def spread(length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For runs of these lengths laid end to end: where each begins, and each element's place in its run."""
+    begin = np.cumsum(length, dtype=np.int64) - length
+    return begin, np.arange(int(length.sum()), dtype=np.int32) - np.repeat(begin.astype(np.int32), length)
+
+
+def huffman(weights: list[float]) -> np.ndarray:
+    """Lengths of the words of a prefix code for these weights."""
+    heap = [(w, i) for i, w in enumerate(weights)]
+    heapq.heapify(heap)
+    above = [0] * (2 * len(weights) - 1)
+    made = len(weights)
+    while len(heap) > 1:
+        a, i = heapq.heappop(heap)
+        b, j = heap[0]
+        above[i] = above[j] = made
+        heapq.heapreplace(heap, (a + b, made))
+        made += 1
+    depth = np.zeros(made, np.int64)
+    for i in range(made - 2, -1, -1):
+        depth[i] = depth[above[i]] + 1
+    return depth[: len(weights)]
+
+
+class Code:
+    """The decisions of each token, and the first predictor's log-odds for them.
+
+    Tokens are numbered by their place in the code: tokens with a common beginning of their paths are neighbours.
+    """
+
+    def __init__(self, hashes: np.ndarray, counts: np.ndarray, rare: np.ndarray, once: int, letters: tuple[np.ndarray, np.ndarray]):
+        every = float(counts.sum() + rare.sum() + once)
+        depth = huffman([max(float(c), every / 2**21) for c in [*counts.tolist(), rare.sum() + once + 0.5]])
+        order = np.argsort(depth, kind="stable")
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        self.unseen = int(place[-1])
+        number = place[:-1] + RARE * (place[:-1] > self.unseen)
+        self._keep(hashes, number.astype(np.int32), counts)
+        total = len(order) + RARE
+        self.length = np.zeros(total, np.int32)
+        weight = np.zeros(total)
+        self.length[number], weight[number] = depth[:-1], counts
+        self.escape = int(depth[-1])
+        self.length[self.unseen], weight[self.unseen] = self.escape + 1, once + 0.5
+        classes = slice(self.unseen + 1, self.unseen + 1 + RARE)
+        self.length[classes], weight[classes] = self.escape + 1 + RARE_BITS, rare
+        self.rare = rare
+        width = np.left_shift(np.uint64(1), (CODE_BITS - self.length).astype(np.uint64))
+        self.left = np.cumsum(width, dtype=np.uint64) - width
+        self.begin = np.cumsum(self.length, dtype=np.int32) - self.length
+        self.base = self._base(weight)
+        self.letters, self.letter_counts = letters
+        pairs = (self.letters & 0xFFFF).astype(np.int64)
+        self.pair_counts = np.bincount(pairs, self.letter_counts, 1 << 16)
+        self.context_counts = self.pair_counts.reshape(256, 256).sum(1)
+        alone = self.pair_counts.reshape(256, 256).sum(0)
+        self.letter = (alone + 1) / (alone.sum() + 256)
+
+    def _base(self, weight: np.ndarray) -> np.ndarray:
+        base = np.zeros(int(self.length.sum()), np.int8)
+        above = np.full(len(weight), weight.sum())
+        for d in range(int(self.length.max())):
+            starts = np.flatnonzero(np.diff(self.left >> np.uint64(CODE_BITS - 1 - d), prepend=np.uint64(1 << 63)))
+            below = np.repeat(np.add.reduceat(weight, starts), np.diff(starts, append=len(weight)))
+            here = self.length > d
+            odds = np.log((below[here] + 0.1) / (above[here] - below[here] + 0.1))
+            base[self.begin[here] + d] = np.rint(np.clip(odds, -10, 10) * SCALE)
+            above = below
+        return base
+
+    def _keep(self, hashes: np.ndarray, number: np.ndarray, counts: np.ndarray) -> None:
+        """Words by hash: a place is that of the hash's last bits or one of the next free ones."""
+        bits = max(4, (4 * len(hashes)).bit_length())
+        self.slots, self.mask = np.full(1 << bits, -1, np.int32), np.uint64((1 << bits) - 1)
+        self.hashes, self.number, self.counts = hashes, number, counts
+        left, place = np.arange(len(hashes), dtype=np.int32), hashes & self.mask
+        while len(left):
+            free = self.slots[place] < 0
+            self.slots[place[free]] = left[free]
+            stay = self.slots[place] != left
+            left, place = left[stay], (place[stay] + np.uint64(1)) & self.mask
+
+    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Number of each word, and its count; -1 where the word has no path of its own, and the number its bits have."""
+        number = self.unseen + 1 + (hashes >> np.uint64(64 - RARE_BITS)).astype(np.int32)
+        count = np.full(len(hashes), -1, np.int64)
+        left, place = np.arange(len(hashes)), hashes & self.mask
+        while len(left):
+            word = self.slots[place]
+            there = word >= 0
+            left, place, word = left[there], place[there], word[there]
+            own = self.hashes[word] == hashes[left]
+            number[left[own]], count[left[own]] = self.number[word[own]], self.counts[word[own]]
+            left, place = left[~own], (place[~own] + np.uint64(1)) & self.mask
+        return number, count
+
+    def spell(self, words: list[bytes]) -> np.ndarray:
+        """Natural-log probability of each word's letters and their end."""
+        size = np.array([len(w) + 1 for w in words])
+        data = np.frombuffer(b"".join(b"  " + w + b" " for w in words), np.uint8).astype(np.uint32)
+        begin, within = spread(size)
+        at = np.repeat(np.cumsum(size + 2) - size, size) + within
+        pair = data[at - 1] << 8 | data[at]
+        code = data[at - 2] << 16 | pair
+        where = np.minimum(np.searchsorted(self.letters, code), max(0, len(self.letters) - 1))
+        seen = np.where(self.letters[where] == code, self.letter_counts[where], 0) if len(self.letters) else 0
+        p = (self.pair_counts[pair] + LETTER_PRIOR * self.letter[data[at]]) / (self.context_counts[data[at - 1]] + LETTER_PRIOR)
+        p = (seen + LETTER_PRIOR * p) / (self.pair_counts[data[at - 2] << 8 | data[at - 1]] + LETTER_PRIOR)
+        return np.add.reduceat(np.log(np.minimum(p, 1)), begin)
+
+
+def letter_codes(texts: Texts) -> tuple[np.ndarray, np.ndarray]:
+    """Three bytes in a row, as one integer, with their counts; a word stands between spaces, and a text's end is a word without letters."""
+    data = np.where(SPACES[texts.data], np.uint8(0x20), texts.data).astype(np.uint32)
+    before = np.roll(data, 1)
+    last = np.where(before == 0x20, np.uint32(0x20), np.roll(data, 2))
+    codes = last << 16 | before << 8 | data
+    keep = np.zeros(len(data), bool)
+    keep[1:] = (data[1:] != 0x20) | (data[:-1] != 0x20)
+    codes, counts = tally(codes[keep])
+    end = 0x20 << 16 | 0x20 << 8 | 0x20
+    return add_up(np.append(codes, np.uint32(end)), np.append(counts, len(texts.n_words)))
+
+
+def context_bits(parts: int) -> int:
+    return min(CONTEXT_BITS + (parts - 1).bit_length(), 63 - ID_BITS)
 
 
 class Block:
-    """Some documents' bytes, and the distinct (context, byte) pairs of each predictor, by part and key."""
+    """Some documents' tokens, and their distinct (context, token) pairs and words without a path, both by part."""
 
-    def __init__(self, docs: list[list[bytes]], parts: int):
-        texts = [b" ".join(d) + (b" \n" if d else b"\n") for d in docs]
-        self.size = np.array([len(t) for t in texts])
+    def __init__(self, texts: Texts, code: Code, parts: int):
+        self.texts = texts
+        self.size = texts.n_words + 1
         self.begin = np.cumsum(self.size) - self.size
-        self.data = np.frombuffer(b"".join(texts), np.uint8)
-        starts = np.zeros(len(self.data), bool)
-        starts[self.begin] = True
-        first = starts.copy()
-        first[1:] |= self.data[:-1] == SPACE
-        at = np.arange(len(self.data), dtype=np.int32)
-        self.gate = np.minimum(at - np.maximum.accumulate(np.where(first, at, 0)), GATES - 1)
-        found, self.pair, base = [], [], 0
-        for keys in keys_of(self.data, starts, first):
-            order = np.argsort(keys)
-            keys = keys[order]
-            new = np.ones(len(keys), bool)
-            new[1:] = keys[1:] != keys[:-1]
-            pair = np.empty(len(keys), np.int32)
-            pair[order] = np.cumsum(new, dtype=np.int32) + np.int32(base - 1)
-            found.append(keys[new])
-            self.pair.append(pair)
-            base += len(found[-1])
-            del keys, order
-        keys = np.concatenate(found)
-        del found
-        part = (((keys >> np.uint64(8)) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)) % np.uint64(parts)
-        part = part.astype(np.int32)
-        order = np.argsort(part, kind="stable")
-        self.keys, part = keys[order], part[order]
-        self.cuts = np.searchsorted(part, np.arange(parts + 1))
-        self.where = np.empty(len(order), np.int32)
-        self.where[order] = np.arange(len(order), dtype=np.int32)
-
-    def counts(self, train: np.ndarray) -> np.ndarray:
-        """How often each pair occurs in the documents for training."""
-        bytes_for = np.repeat(train, self.size)
-        return sum(np.bincount(self.where[p[bytes_for]], minlength=len(self.keys)) for p in self.pair)
-
-
-def answers(code: Code, keys: list[np.ndarray], counts: list[np.ndarray], at_once: int = 200_000) -> list[np.ndarray]:
-    """For each block's pairs, how much the summed statistics of the pair's context favour each decision of its byte."""
+        n = int(self.size.sum())
+        is_word = np.ones(n, bool)
+        is_word[self.begin + texts.n_words] = False
+        hashes = np.full(n, END, np.uint64)
+        hashes[is_word] = texts.hashes
+        self.number, self.count = code.find(hashes)
+        before = np.zeros((2, n), np.uint64)
+        for k in (1, 2):
+            before[k - 1, k:] = hashes[:-k] if n > k else 0
+            for first in range(k):  # a document's beginning stands for the words before it
+                before[k - 1, (self.begin + first)[self.size > first]] = 0
+        one = _mixed(before[0] + np.uint64(0x9E3779B97F4A7C15))
+        two = _mixed(one ^ (before[1] * np.uint64(0xD6E8FEB86659FD93)))
+        bits = context_bits(parts)
+        keys = np.concatenate([(c >> np.uint64(64 - bits)) << np.uint64(1) | np.uint64(tag) for tag, c in enumerate((one, two))])
+        keys = keys << np.uint64(ID_BITS) | np.concatenate([self.number, self.number]).astype(np.uint64)
+        del before, one, two
+        order = np.argsort(keys)
+        keys = keys[order]
+        new = np.diff(keys, prepend=~keys[:1]) != 0
+        pair = np.empty(len(keys), np.int32)
+        pair[order] = np.cumsum(new, dtype=np.int32) - 1
+        self.pair = pair.reshape(2, n)
+        self.keys = keys[new]
+        part = ((self.keys >> np.uint64(ID_BITS + 1)) * np.uint64(parts)) >> np.uint64(bits)
+        self.cuts = np.searchsorted(part, np.arange(parts + 1, dtype=np.uint64))
+        self.other = np.flatnonzero(self.count < 0)
+        self.words, self.word_at = np.unique(hashes[self.other], return_inverse=True)
+        part = ((self.words >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
+        self.word_cuts = np.searchsorted(part, np.arange(parts + 1, dtype=np.uint64))
+
+    def spelling(self, tokens: np.ndarray) -> list[bytes]:
+        """The letters of these tokens; an end has none."""
+        doc = np.searchsorted(self.begin, tokens, side="right") - 1
+        word = tokens - self.begin[doc] < self.size[doc] - 1
+        found = iter(self.texts.words((tokens - doc)[word]))
+        return [next(found) if w else b"" for w in word]
+
+    def counts(self, train: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """How often each pair, and each word without a path, occurs in the documents for training."""
+        here = np.repeat(train, self.size)
+        pairs = sum(np.bincount(p[here], minlength=len(self.keys)) for p in self.pair)
+        return pairs, np.bincount(self.word_at[here[self.other]], minlength=len(self.words))
+
+
+CHANCE = 1 / (1 + np.exp(np.arange(-128, 128) / -SCALE))
+
+
+def narrowed(odds: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Log-odds as their difference from the first predictor's, in quarters."""
+    return np.rint((np.clip(odds, -10, 10) - first / SCALE) * 4).astype(np.int8)
+
+
+def widened(steps_apart: np.ndarray, first: np.ndarray) -> np.ndarray:
+    return np.clip(first + np.rint(steps_apart * (SCALE / 4)), -127, 127).astype(np.int8)
+
+
+def favours(code: Code, keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For rising pairs: down to which decision the context has other tokens, and how much it favours the token's decisions down to there."""
+    number = (keys & np.uint64((1 << ID_BITS) - 1)).astype(np.int32)
+    left = code.left[number]
+    shared = np.full(len(keys) + 1, -1, np.int32)
+    apart = left[1:] ^ left[:-1]
+    same = (keys[1:] >> np.uint64(ID_BITS)) == (keys[:-1] >> np.uint64(ID_BITS))
+    shared[1:-1] = np.where(same, CODE_BITS - np.frexp(apart.astype(np.float64))[1], -1)
+    depth = np.maximum(shared[1:], shared[:-1]) + 1
+    begin = np.cumsum(depth, dtype=np.int64) - depth
+    out = np.empty(int(depth.sum()), np.int8)
+    at = np.flatnonzero(depth)
+    n, common, deep = counts[at].astype(np.float64), shared[:-1][at], depth[at]
+    prior = np.where((keys[at] >> np.uint64(ID_BITS)) & np.uint64(1), PRIOR[1], PRIOR[0])
+    base, to = code.begin[number[at]], begin[at]
+    d = 0
+    while len(n):
+        starts = np.flatnonzero(common < d)
+        node = np.repeat(np.add.reduceat(n, starts), np.diff(starts, append=len(n)))
+        starts = np.flatnonzero(common < d + 1)
+        child = np.repeat(np.add.reduceat(n, starts), np.diff(starts, append=len(n)))
+        first = code.base[base + d]
+        p = prior * CHANCE[first.astype(np.int32) + 128]
+        odds = np.log((child + p) / (node - child + prior - p))
+        out[to + d] = narrowed(odds, first)
+        d += 1
+        stay = deep > d
+        if not stay.all():
+            n, common, deep, prior, base, to = (x[stay] for x in (n, common, deep, prior, base, to))
+    return depth.astype(np.uint8), out
+
+
+def alone_table() -> np.ndarray:
+    """By predictor, count (up to 255) and the first predictor's log-odds: log-odds where the context has no other token."""
+    odds = [np.log((np.arange(256)[:, None] + s * CHANCE) / (s * (1 - CHANCE))) for s in PRIOR]
+    return np.rint(np.clip(odds, -10, 10) * SCALE).astype(np.int8)
+
+
+def answer(code: Code, keys: list[np.ndarray], counts: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each block's pairs: count, depth and log-odds by the sums of all blocks."""
     pairs, at = np.unique(np.concatenate(keys), return_inverse=True)
     seen = np.bincount(at, np.concatenate(counts), len(pairs))
-    length = code.length[(pairs & np.uint64(255)).astype(np.uint8)]
-    context = np.cumsum(np.diff(pairs >> np.uint64(8), prepend=pairs[:1] >> np.uint64(8)) != 0)
-    # Slices end where contexts end, so that what is spread out to decisions stays small.
-    cuts = np.unique(np.append(np.searchsorted(context, context[::at_once]), len(pairs)))
-    favour = np.empty(int(length.sum()), np.int8)
-    offset = np.cumsum(length, dtype=np.int64) - length
-    for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-        n, flat = decisions((pairs[lo:hi] & np.uint64(255)).astype(np.uint8), code)
-        _, node = np.unique(np.repeat(context[lo:hi], n) * 256 + code.node[flat], return_inverse=True)
-        bit, weight = code.bit[flat], np.repeat(seen[lo:hi], n)
-        one, every = np.bincount(node, weight * bit), np.bincount(node, weight)
-        odds = np.log((one + 0.4) / (every - one + 0.4))[node]
-        favour[offset[lo] : offset[lo] + len(flat)] = np.rint(np.clip(np.where(bit, odds, -odds), -10, 10) * SCALE)
-    out = []
+    depth, odds = favours(code, pairs, seen)
+    begin = np.cumsum(depth, dtype=np.int64) - depth
+    short = np.minimum(seen, 255).astype(np.uint8)
     for own in np.split(at, np.cumsum([len(k) for k in keys])[:-1]):
-        n = length[own]
-        out.append(favour[np.repeat(offset[own] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))])
-    return out
+        length = depth[own].astype(np.int32)
+        _, within = spread(length)
+        yield short[own], depth[own], odds[np.repeat(begin[own], length) + within]
+
+
+#: Of log-odds as an unsigned byte: their value, and how sure they are.
+WIDE = (np.arange(256, dtype=np.uint8).view(np.int8) / SCALE).astype(np.float32)
+LEVEL = sum((np.abs(WIDE) > limit).astype(np.int32) for limit in SURE)
 
 
 class Scorer:
-    """Scores the documents of a block, given its pairs' answers in the order of its keys."""
-
-    def __init__(self, code: Code, block: Block, favour: np.ndarray, rate: float = 0.03, map_rate: float = 0.05):
-        self.code, self.block, self.favour, self.rate, self.map_rate = code, block, favour, rate, map_rate
-        length = code.length[(block.keys & np.uint64(255)).astype(np.uint8)]
-        offset = (np.cumsum(length) - length).astype(np.int32)[block.where]
-        self.offset = [offset[p] for p in block.pair]
-        grid = (np.arange(BUCKETS) - BUCKETS / 2 + 0.5) / 2
-        self.map = (1 / (1 + np.exp(-grid))).astype(np.float32)
-
-    def group(self, docs: list[int]) -> np.ndarray:
-        """Natural-log probability of each document's words, spaces and end."""
-        total = np.zeros(len(docs))
-        size, begin = self.block.size[docs], self.block.begin[docs]
-        weights = np.tile(np.array(START_WEIGHTS, np.float32), (len(docs) * GATES, 1))
-        maps = np.tile(self.map, (len(docs), 1))
-        lo = 0
-        live = np.arange(len(docs))
-        while len(live):
-            n = np.minimum(size[live] - lo, WINDOW)
-            doc = np.repeat(np.arange(len(live)), n)
-            at = np.arange(len(doc)) + np.repeat(begin[live] + lo - (np.cumsum(n) - n), n)
-            self._window(at, live[doc] * GATES + self.block.gate[at], live[doc], n, live, weights, maps, total)
-            lo += WINDOW
-            live = live[size[live] > lo]
-        return total
-
-    def _window(self, at, row, doc, n, live, weights, maps, total) -> None:
-        length, flat = decisions(self.block.data[at], self.code)
-        bit = self.code.bit[flat]
-        within = np.arange(len(flat), dtype=np.int32) - np.repeat((np.cumsum(length) - length).astype(np.int32), length)
-        sign = np.where(bit, np.float32(1 / SCALE), np.float32(-1 / SCALE))
-        x = [self.favour[np.repeat(o[at], length) + within] * sign for o in self.offset]
-        row = np.repeat(row, length)
-        mine = weights[row]
-        z = mine[:, 0] * x[0]
-        for k in range(1, len(x)):
-            z += mine[:, k] * x[k]
+    """Scores the documents of a block, given the answers for its pairs and the counts of its words without a path."""
+
+    def __init__(self, code: Code, block: Block, told: tuple[np.ndarray, np.ndarray, np.ndarray], totals: np.ndarray, rate: float = 0.02, map_rate: float = 0.02):
+        self.code, self.block, self.rate, self.map_rate = code, block, rate, map_rate
+        seen, depth, odds = told
+        number = (block.keys & np.uint64((1 << ID_BITS) - 1)).astype(np.int32)
+        length = code.length[number]
+        begin = np.cumsum(length, dtype=np.int32) - length
+        self.pair_at = begin
+        at = np.repeat(code.begin[number] - begin, length)
+        at += np.arange(len(at), dtype=np.int32)
+        base = code.base[at]
+        row = (block.keys >> np.uint64(ID_BITS) & np.uint64(1)).astype(np.int32) * 256 + seen
+        at = np.repeat(row * 256 + 128, length)
+        at += base
+        self.odds = alone_table().reshape(-1)[at]
+        depth = depth.astype(np.int32)
+        at = np.repeat(begin - (np.cumsum(depth, dtype=np.int32) - depth), depth)
+        at += np.arange(len(at), dtype=np.int32)
+        self.odds[at] = widened(odds, base[at])
+        del at, base, row
+        # Of words without a path: what is left when the decisions are coded; unseen ones leave the path at the escape.
+        count = block.count.copy()
+        count[block.other] = totals[block.word_at]
+        self.known = count
+        self.unseen = count == 0
+        self.rest = np.zeros(len(count))
+        rare = block.other[count[block.other] > 0]
+        classes = code.rare[block.number[rare] - code.unseen - 1]
+        self.rest[rare] = np.log(count[rare] / np.maximum(classes, count[rare]))
+        never = np.flatnonzero(self.unseen)
+        if len(never):
+            words = block.spelling(never)
+            number = {w: i for i, w in enumerate(dict.fromkeys(words))}
+            self.rest[never] = code.spell(list(number))[[number[w] for w in words]]
+        middle = (np.arange(BUCKETS) + 0.5) / 2
+        self.map = (1 / (1 + np.exp(-middle))).astype(np.float32)
+
+    def group(self, docs: np.ndarray) -> np.ndarray:
+        """Natural-log probability of each document's decisions; documents come longest first."""
+        block, code = self.block, self.code
+        # Tokens by window, then by document: what is learned from a window serves the next one.
+        size = block.size[docs]
+        _, within = spread(size)
+        doc = np.repeat(np.arange(len(docs), dtype=np.int32), size)
+        order = np.lexsort((doc, within // WINDOW)) if size[0] > WINDOW else slice(None)
+        doc, token = doc[order], (np.repeat(block.begin[docs], size) + within)[order]
+        window = (within // WINDOW)[order]
+        length = code.length[block.number[token]]
+        left = self.unseen[token]
+        length[left] = code.escape + 1
+        begin = np.cumsum(length, dtype=np.int32) - length
+        within = np.arange(int(length.sum()), dtype=np.int32)
+        doc = np.repeat(doc, length)
+        gate = doc * np.int32(GATES)
+        x, last = [], (begin + length - 1)[left]
+        for source, place, level in ((code.base, code.begin[block.number[token]], None), (self.odds, self.pair_at[block.pair[0][token]], LEVEL * np.int32(len(SURE) + 1)), (self.odds, self.pair_at[block.pair[1][token]], LEVEL)):
+            at = np.repeat(place - begin, length)
+            at += within
+            steps_of = source[at].view(np.uint8)
+            x.append(WIDE[steps_of])
+            x[-1][last] *= -1  # for the words that training never had, the other outcome
+            if level is not None:
+                gate += level[steps_of]
+        cells = doc * np.int32(BUCKETS)
+        starts = np.flatnonzero(np.diff(window, prepend=-1))
+        cuts = np.append(begin[starts], len(doc)).tolist()
+        weights = np.tile(START_WEIGHTS, (len(docs), 1)).T.copy()
+        maps = np.tile(self.map, len(docs))
+        told = np.empty(len(doc), np.float32)
+        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+            live = int(doc[hi - 1]) + 1
+            self._window(gate[lo:hi], cells[lo:hi], [v[lo:hi] for v in x], weights[:, : live * GATES], maps[: live * BUCKETS], told[lo:hi])
+        return np.bincount(doc, np.log(told, dtype=np.float64), len(docs))
+
+    def _window(self, gate, cells, x, weights, maps, told) -> None:
+        z = weights[0][gate]
+        z *= x[0]
+        z += weights[1][gate] * x[1]
+        z += weights[2][gate] * x[2]
         np.clip(z, -12, 12, out=z)
-        p = 1 / (1 + np.exp(-z))
-        cell = np.repeat(doc * BUCKETS, length) + np.clip(z * 2 + BUCKETS / 2, 0, BUCKETS - 1).astype(np.int32)
-        flatmap = maps.reshape(-1)
-        refined = 0.75 * p + 0.25 * flatmap[cell]
-        np.clip(refined, 1e-6, 1 - 1e-6, out=refined)
-        told = np.log(np.where(bit, refined, 1 - refined))
-        steps = np.add.reduceat(length, np.cumsum(n) - n)
-        total[live] += np.add.reduceat(told, np.cumsum(steps) - steps, dtype=np.float64)
+        error = np.exp(z)
+        error += 1
+        np.reciprocal(error, out=error)  # one less the probability of what came true
+        # The map tells how often the likelier outcome comes true, by how sure the mixer is of it.
+        right = z >= 0
+        cell = cells + np.minimum(np.abs(z) * 2, BUCKETS - 1).astype(np.int32)
+        refined = maps[cell]
+        np.subtract(1, refined, out=refined, where=~right)
+        refined -= 3 * error
+        refined *= 0.25
+        refined += 0.75
+        np.clip(refined, 1e-6, 1 - 1e-6, out=told)
         # Learning, after the window is coded.
-        error = bit - p
-        size = len(weights)
-        seen = np.bincount(row, minlength=size)
-        there = np.flatnonzero(seen)
-        scale = (self.rate / np.sqrt(seen[there])).astype(np.float32)
-        for k in range(len(x)):
-            weights[there, k] += scale * np.bincount(row, error * x[k], size)[there].astype(np.float32)
-        hits = np.bincount(cell, minlength=flatmap.size)
-        cells = np.flatnonzero(hits)
-        mean = np.bincount(cell, bit, flatmap.size)[cells] / hits[cells]
-        flatmap[cells] += ((1 - (1 - self.map_rate) ** hits[cells]) * (mean - flatmap[cells])).astype(np.float32)
-
-    def scores(self, budget: int = 400_000) -> np.ndarray:
-        """Log10 probabilities; documents are taken together up to so many bytes, of like length."""
+        size = weights.shape[1]
+        scale = self.rate / np.sqrt(np.maximum(np.bincount(gate, minlength=size), 1))
+        for k in range(3):
+            weights[k] += scale * np.bincount(gate, error * x[k], size)
+        hits = np.bincount(cell, minlength=len(maps))
+        came = np.bincount(cell, right, len(maps))
+        maps += (1 - (1 - self.map_rate) ** hits) * (came / np.maximum(hits, 1) - maps)
+
+    def scores(self, budget: int = 120_000) -> np.ndarray:
+        """Log10 probabilities; documents are taken together up to so many tokens, of like length."""
         size = self.block.size
-        out = np.zeros(len(size))
-        group, used = [], 0
-        for i in [*np.argsort(size, kind="stable").tolist(), -1]:
-            own = 0 if i < 0 else int(size[i])
-            if group and (i < 0 or used + own > budget):
-                out[group] = self.group(group)
-                group, used = [], 0
-            group.append(i)
-            used += own
+        out = np.add.reduceat(self.rest, self.block.begin) if len(size) else np.zeros(0)
+        order = np.argsort(-size, kind="stable")
+        bound = np.cumsum(size[order]) // budget
+        for docs in np.split(order, np.flatnonzero(np.diff(bound)) + 1):
+            if len(docs):
+                out[docs] += self.group(docs)
         return out / math.log(10)
 
+    def baseline(self) -> tuple[np.ndarray, np.ndarray]:
+        """Of each document: tokens that training has, and the sum of log10(count + 1)."""
+        begin = self.block.begin
+        return np.add.reduceat((self.known > 0).astype(np.int64), begin), np.add.reduceat(np.log10(self.known + 1), begin)
+
+
+def _count(parts: int, at_once: int = 2_000_000):
+    """Words and letters of one partition's texts: hashes by part, then codes of three letters by their first bits."""
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words: list[tuple[np.ndarray, np.ndarray]] = []
+        letters: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def out(part: np.ndarray, keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+            there, first = np.unique(part, return_index=True)
+            spans = list(zip(first, [*first[1:], len(part)], strict=True))
+            return pa.RecordBatch.from_arrays([pa.array(there.astype(np.int32)), pa.array([pack(steps(keys[lo:hi])) for lo, hi in spans], pa.binary()), pa.array([pack(counts[lo:hi]) for lo, hi in spans], pa.binary())], names=["part", "keys", "counts"])
+
+        def joined(found: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+            return add_up(*(np.concatenate(x) for x in zip(*found, strict=True)))
+
+        def flush() -> pa.RecordBatch:
+            keys, counts = joined(words)
+            words.clear()
+            return out(((keys >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64), keys, counts)
+
+        for (told,) in batches(rows, "text"):
+            for lo, hi in spans_of(told):
+                texts = Texts(told[lo:hi])
+                words.append(tally(np.append(texts.hashes, np.full(hi - lo, END))))
+                letters.append(letter_codes(texts))
+                if len(letters) > 8:
+                    letters[:] = [joined(letters)]
+                if len(words) > 8:
+                    words[:] = [joined(words)]
+                    if len(words[0][0]) > at_once:
+                        yield flush()
+        if words:
+            yield flush()
+        if letters:
+            codes, counts = joined(letters)
+            yield out((codes >> 16).astype(np.int64) - 256, codes.astype(np.uint64), counts)
+
+    return run
+
 
-def word_counts(docs: DataFrame, at_once: int = 400_000) -> DataFrame:
-    """word and c: how often each token (words, and the end as the empty word) occurs."""
+def spans_of(texts: list[str | None], characters: int = 1 << 20) -> Iterator[tuple[int, int]]:
+    """Runs of texts of together about so many characters."""
+    ends = np.cumsum([len(t) if t else 0 for t in texts])
+    cuts = np.flatnonzero(np.diff(ends // characters)) + 1
+    yield from zip([0, *cuts.tolist()], [*cuts.tolist(), len(texts)], strict=True)
 
-    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: Counter[bytes] = Counter()
 
-        def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.binary()), pa.array(found.values(), pa.int64())], names=["word", "c"])
+def bucket_of(counts: np.ndarray) -> np.ndarray:
+    return np.floor(8 * np.log2(counts) + 1e-9).astype(np.int64)
 
-        for (texts,) in batches(parts, "text"):
-            for text in texts:
-                found.update(tokens_of(text))
-                found[b""] += 1
-                if len(found) > at_once:
-                    yield out()
-                    found.clear()
-        if found:
-            yield out()
 
-    return docs.select("text").mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
+def _sum(rows: pa.Table) -> pa.Table:
+    """One part's keys, each once: the table, and how many keys have counts of about that size."""
+    keys, counts = add_up(np.concatenate([np.cumsum(unpack(k, np.uint64), dtype=np.uint64) for k in rows["keys"].to_pylist()]), np.concatenate([unpack(c, np.int64) for c in rows["counts"].to_pylist()]))
+    sizes = np.bincount(bucket_of(counts), minlength=1)
+    there = np.flatnonzero(sizes)
+    shape = pa.array([list(zip(there.tolist(), sizes[there].tolist(), strict=True))], pa.list_(pa.struct([("bucket", pa.int64()), ("words", pa.int64())])))
+    return pa.table({"part": rows["part"].slice(0, 1), "keys": pa.array([pack(steps(keys))], pa.binary()), "counts": pa.array([pack(counts)], pa.binary()), "total": pa.array([int(counts.sum())]), "shape": shape})
 
 
-def _byte_counts(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(256)
-    for words, counts in batches(parts, "word", "c"):
-        c = np.array(counts)
-        data = np.frombuffer(b"".join(w + (b" " if w else b"\n") for w in words), np.uint8)
-        total += np.bincount(data, np.repeat(c, [len(w) + 1 for w in words]), 256)
-    yield pa.RecordBatch.from_arrays([pa.array(range(256), pa.int32()), pa.array(total)], names=["byte", "n"])
+def _pick(least: int):
+    """Words in the upper buckets by hash, and the other words' counts by the leading bits of the hash."""
 
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for keys, counts in batches(rows, "keys", "counts"):
+            for k, c in zip(keys, counts, strict=True):
+                h, c = np.cumsum(unpack(k, np.uint64), dtype=np.uint64), unpack(c, np.int64)
+                top = bucket_of(c) >= least
+                bits, sums = add_up(h[~top] >> np.uint64(64 - RARE_BITS), c[~top])
+                which = np.repeat([True, False], [int(top.sum()), len(bits)])
+                yield pa.RecordBatch.from_arrays([pa.array(which), pa.array(np.concatenate([h[top], bits]).view(np.int64)), pa.array(np.concatenate([c[top], sums]))], names=["top", "key", "n"])
+
+    return run
 
-def fit_code(words: DataFrame) -> Code:
-    frequency = np.zeros(256)
-    for r in words.mapInArrow(_byte_counts, "byte int, n double").groupBy("byte").agg(F.sum("n").alias("n")).collect():
-        frequency[r["byte"]] = r["n"]
-    return Code(frequency)
 
+def fit(docs: DataFrame, parts: int, common: int = 1 << 17) -> tuple[Code, int, int]:
+    """The code of the tokens of these texts, how many tokens they have and how many distinct ones.
 
-def _ask(parts: int):
-    """A block's pairs and their counts in its training rows, a row for each part of the statistics."""
+    Only the code's parts go to the driver: `common` hashes, 2^16 sums, the letters, and some hundred buckets of counts.
+    """
+    if common + RARE >= 1 << ID_BITS:
+        raise ValueError("common is too large")
+    counted = docs.select("text").mapInArrow(_count(parts), "part int, keys binary, counts binary")
+    sums = checkpoint(counted.groupBy("part").applyInArrow(_sum, "part int, keys binary, counts binary, total long, shape array<struct<bucket: long, words: long>>"))
+    del counted
+    release(docs.sparkSession)
+    words = sums.filter("part >= 0")
+    total = words.agg(F.coalesce(F.sum("total"), F.lit(0))).first()[0]
+    shape = words.select(F.inline("shape")).groupBy("bucket").agg(F.sum("words").alias("n")).orderBy("bucket").collect()
+    distinct, once = sum(r["n"] for r in shape), next((r["n"] for r in shape if r["bucket"] == 0), 0)
+    least, kept = 0, distinct
+    for r in shape:
+        if kept <= common:
+            break
+        kept, least = kept - r["n"], r["bucket"] + 1
+    picked = words.select("keys", "counts").mapInArrow(_pick(least), "top boolean, key long, n long").groupBy("top", "key").agg(F.sum("n").alias("n")).toPandas()
+    top, rest = picked[picked["top"]], picked[~picked["top"].astype(bool)]
+    rare = np.zeros(RARE)
+    rare[rest["key"].to_numpy(np.int64)] = rest["n"]
+    letters, n = np.zeros(0, np.uint32), np.zeros(0, np.int64)
+    for r in sums.filter("part < 0").select("keys", "counts").collect():
+        letters = np.append(letters, np.cumsum(unpack(r["keys"], np.uint64), dtype=np.uint64).astype(np.uint32))
+        n = np.append(n, unpack(r["counts"], np.int64))
+    order = np.argsort(letters)
+    return Code(top["key"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64), rare, once, (letters[order], n[order])), total, distinct
+
+
+def _ask(model, parts: int):
+    """A block's pairs, and its words without a path, with their counts in its training rows: a row for each part."""
 
     def run(rows: pa.Table) -> pa.Table:
-        block = Block([tokens_of(t) for t in rows["text"].to_pylist()], parts)
-        counts = block.counts(np.array(rows["train"].to_pylist(), bool)).astype(np.uint32)
-        spans = [(p, *block.cuts[p : p + 2]) for p in range(parts) if block.cuts[p] < block.cuts[p + 1]]
-        keys = [pack(np.diff(block.keys[lo:hi], prepend=np.uint64(0))) for _, lo, hi in spans]
-        return pa.table({"block": pa.array([rows["block"][0].as_py()] * len(spans), pa.int32()), "part": pa.array([p for p, _, _ in spans], pa.int32()), "keys": pa.array(keys, pa.binary()), "counts": pa.array([pack(counts[lo:hi]) for _, lo, hi in spans], pa.binary())})
+        block = Block(Texts(rows["text"].to_pylist()), model.value, parts)
+        pairs, words = (c.astype(np.uint32) for c in block.counts(np.array(rows["train"].to_pylist(), bool)))
+        out = []
+        for p in range(parts):
+            (a, b), (c, d) = block.cuts[p : p + 2], block.word_cuts[p : p + 2]
+            if a < b or c < d:
+                out.append((rows["block"][0].as_py(), p, pack(steps(block.keys[a:b])), pack(pairs[a:b]), pack(steps(block.words[c:d])), pack(words[c:d])))
+        kinds = (pa.int32(), pa.int32(), *[pa.binary()] * 4)
+        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["block", "part", "keys", "counts", "words", "word_counts"])
 
     return run
 
 
-def _answer(code: Code):
+def _answer(model):
     def run(rows: pa.Table) -> pa.Table:
-        keys = [np.cumsum(unpack(k, np.uint64), dtype=np.uint64) for k in rows["keys"].to_pylist()]
-        told = answers(code, keys, [unpack(c, np.uint32) for c in rows["counts"].to_pylist()])
-        return pa.table({"block": rows["block"], "part": rows["part"], "favour": pa.array([zlib.compress(t.tobytes(), 1) for t in told], pa.binary())})
+        keys, words = ([np.cumsum(unpack(k, np.uint64), dtype=np.uint64) for k in rows[c].to_pylist()] for c in ("keys", "words"))
+        counts, word_counts = ([unpack(k, np.uint32) for k in rows[c].to_pylist()] for c in ("counts", "word_counts"))
+        told = [[pack(x) for x in t] for t in answer(model.value, keys, counts)]
+        distinct, at = np.unique(np.concatenate(words), return_inverse=True)
+        totals = np.bincount(at, np.concatenate(word_counts), len(distinct)).astype(np.int64)
+        own = [pack(totals[x]) for x in np.split(at, np.cumsum([len(w) for w in words])[:-1])]
+        columns = [pa.array(c, pa.binary()) for c in (*zip(*told, strict=True), own)]
+        return pa.Table.from_arrays([rows["block"].combine_chunks(), rows["part"].combine_chunks(), *columns], names=["block", "part", "seen", "depth", "odds", "totals"])
 
     return run
 
 
-def score_documents(docs: DataFrame, trainable: Column, common: int = 100_000, block_bytes: int = 2_000_000) -> DataFrame:
+def score_documents(docs: DataFrame, trainable: Column, common: int = 1 << 17, block_bytes: int = 12 << 20) -> DataFrame:
     """doc_id, text bytes, n_tokens, n_known, train_tokens, base_score and score (both log10) of each row."""
     spark = docs.sparkSession
-    words = checkpoint(word_counts(docs.filter(trainable).select("text")))
-    total, distinct = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    parts = max(partitions_for(docs), -(-size // block_bytes))
-    code = fit_code(words)
-    model = spark.sparkContext.broadcast((code, {bytes(r["word"]): r["c"] for r in words.orderBy(F.desc("c"), "word").limit(common).collect()}))
+    blocks = max(partitions_for(docs), -(-size // block_bytes))
+    parts = max(partitions_for(docs), -(-size // (2 * block_bytes)))
+    code, total, distinct = fit(docs.filter(trainable), parts, common)
+    model = spark.sparkContext.broadcast(code)
+    whole = math.log10(total + distinct + 1)
 
     def run(rows: pa.Table, replies: pa.Table) -> pa.Table:
-        code, known = model.value
-        told = [tokens_of(t) for t in rows["text"].to_pylist()]
-        by_part = sorted(zip(replies["part"].to_pylist(), replies["favour"].to_pylist(), strict=True))
-        favour = np.frombuffer(b"".join(zlib.decompress(raw) for _, raw in by_part), np.int8)
-        scores = Scorer(code, Block(told, parts), favour).scores()
-        names = ["doc_id", "row", "n_bytes", "n_tokens", "n_known", "logs", "score", "word", "times"]
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.int64())
-        number, out = rows["block"][0].as_py() << 40, []
-        for key, tokens, score in zip(rows["doc_id"].to_pylist(), told, scores.tolist(), strict=True):
-            n_known, logs = 0, 0.0
-            for w, n in [*Counter(tokens).items(), (b"", 1)]:
-                c = known.get(w)
-                if c is None:
-                    out.append((None, number, None, None, None, None, None, w, n))
-                else:
-                    n_known += n
-                    logs += n * math.log10(c + 1)
-            out.append((key, number, sum(map(len, tokens)) + len(tokens) + 1, len(tokens) + 1, n_known, logs, score, None, None))
-            number += 1
-        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
+        order = np.argsort(replies["part"].to_numpy())
+        told = [np.concatenate([unpack(raw, kind) for raw in replies[c].take(pa.array(order)).to_pylist()]) for c, kind in (("seen", np.uint8), ("depth", np.uint8), ("odds", np.int8), ("totals", np.int64))]
+        texts = Texts(rows["text"].to_pylist())
+        scorer = Scorer(model.value, Block(texts, model.value, parts), tuple(told[:3]), told[3])
+        n_known, logs = scorer.baseline()
+        n = scorer.block.size
+        return pa.table({"doc_id": rows["doc_id"], "n_bytes": texts.n_bytes, "n_tokens": n, "n_known": n_known, "train_tokens": np.full(len(n), total), "base_score": logs - n * whole, "score": scorer.scores()})
 
     # Both uses of the dealt rows have one plan, so that they are shuffled once.
-    block = F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts)).cast("int")
+    block = F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int")
     dealt = docs.select("doc_id", "text", F.coalesce(trainable, F.lit(False)).alias("train"), block.alias("block"))
-    asked = dealt.groupBy("block").applyInArrow(_ask(parts), "block int, part int, keys binary, counts binary")
-    told = asked.groupBy("part").applyInArrow(_answer(code), "block int, part int, favour binary")
-    found = checkpoint(dealt.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(run, "doc_id long, row long, n_bytes long, n_tokens long, n_known long, logs double, score double, word binary, times long"))
-    rare = found.filter("word IS NOT NULL").select("row", "word", "times").join(words, "word")
-    more = rare.groupBy("row").agg(F.sum("times").alias("more_known"), F.sum(F.col("times") * F.log10(F.col("c") + 1)).alias("more_logs"))
-    out = found.filter("word IS NULL").drop("word", "times").join(more, "row", "left")
-    whole = math.log10(total + distinct + 1)
-    return out.select(
-        "doc_id",
-        "n_bytes",
-        "n_tokens",
-        (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"),
-        F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("logs") + F.coalesce("more_logs", F.lit(0.0)) - F.col("n_tokens") * whole).alias("base_score"),
-        "score",
-    )
+    asked = dealt.groupBy("block").applyInArrow(_ask(model, parts), "block int, part int, keys binary, counts binary, words binary, word_counts binary")
+    told = asked.groupBy("part").applyInArrow(_answer(model), "block int, part int, seen binary, depth binary, odds binary, totals binary")
+    return dealt.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(run, "doc_id long, n_bytes long, n_tokens long, n_known long, train_tokens long, base_score double, score double")

@@ -259,19 +259,106 @@ def test_scoring_word_order(spark):
     assert all(found[300 + i] > 0.8 * found[400 + i] for i in range(20))
 
 
-def test_scoring_learns_in_short_texts():
-    """Mixer and map learn within texts of less than 64 bytes, be their words those of training or others."""
+def plain_scores(rows, trainable, common, code):
+    """The model's log10 probabilities, decision by decision with dictionaries; the code of the tokens is given."""
+    import math
+
+    from recollect.llm import lm_score as lm
+
+    def number_of(w):
+        h = int(lm.Texts([w.decode()]).hashes[0]) if w else int(lm.END)
+        return int(code.find(np.array([h], np.uint64))[0][0]), h
+
+    def path(number):
+        return format(int(code.left[number]), f"0{lm.CODE_BITS}b")[: int(code.length[number])]
+
+    docs = {i: [*re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode().lower()), b""] for i, t in rows}
+    count: dict = defaultdict(int)
+    node: dict = defaultdict(int)
+    under: dict = defaultdict(set)
+    contexts = {}
+    for i, tokens in docs.items():
+        for k, w in enumerate(tokens):
+            number, _ = number_of(w)
+            at = [(1, tokens[k - 1] if k else None), (2, tokens[k - 1] if k else None, tokens[k - 2] if k > 1 else None)]
+            contexts[i, k] = at
+            count[w] += trainable(i)
+            for c in at:
+                for d in range(len(path(number)) + 1):
+                    node[c, path(number)[:d]] += trainable(i)
+                    under[c, path(number)[:d]].add(number)
+    alone = lm.alone_table()
+    out = {}
+    for i, tokens in docs.items():
+        weights, maps = lm.START_WEIGHTS.astype(float).copy(), 1 / (1 + np.exp(-(np.arange(lm.BUCKETS) + 0.5) / 2))
+        total = 0.0
+        for lo in range(0, len(tokens), lm.WINDOW):
+            error, hits, came, seen = np.zeros_like(weights), np.zeros(lm.BUCKETS), np.zeros(lm.BUCKETS), np.zeros(lm.GATES)
+            for k in range(lo, min(lo + lm.WINDOW, len(tokens))):
+                w = tokens[k]
+                number, h = number_of(w)
+                p, unseen = path(number), count[w] == 0
+                for d in range(code.escape + 1 if unseen else len(p)):
+                    first = int(code.base[code.begin[number] + d])
+                    x = [first]
+                    for c in contexts[i, k]:
+                        prior = lm.PRIOR[c[0] - 1]
+                        whole, part = node[c, p[:d]], node[c, p[: d + 1]]
+                        if len(under[c, p[:d]]) == 1:
+                            x.append(int(alone[c[0] - 1][min(255, whole)][first + 128]))
+                        else:
+                            q = prior * lm.CHANCE[first + 128]
+                            x.append(int(lm.widened(lm.narrowed(np.log((part + q) / (whole - part + prior - q)), np.int8(first)), np.int8(first))))
+                    x = np.array(x) / lm.SCALE * (-1 if unseen and d == code.escape else 1)
+                    gate = 3 * sum(abs(x[1]) > s for s in lm.SURE) + sum(abs(x[2]) > s for s in lm.SURE)
+                    z = float(np.clip(weights[gate] @ x, -12, 12))
+                    chance = 1 / (1 + math.exp(-z))
+                    cell = min(int(abs(z) * 2), lm.BUCKETS - 1)
+                    refined = 0.75 * chance + 0.25 * (maps[cell] if z >= 0 else 1 - maps[cell])
+                    total += math.log(min(max(refined, 1e-6), 1 - 1e-6))
+                    error[gate] += (1 - chance) * x
+                    seen[gate] += 1
+                    hits[cell] += 1
+                    came[cell] += z >= 0
+                if unseen:
+                    total += float(code.spell([w])[0])
+                elif number > code.unseen and number <= code.unseen + lm.RARE:
+                    total += math.log(count[w] / code.rare[number - code.unseen - 1])
+            weights += 0.02 * error / np.sqrt(np.maximum(seen, 1))[:, None]
+            maps += (1 - 0.98**hits) * (came / np.maximum(hits, 1) - maps)
+        out[i] = total / math.log(10)
+    return out
+
+
+def test_scoring_against_plain_coder(spark):
+    from pyspark.sql import functions as F
+
     from recollect.llm import lm_score
 
     rng = random.Random(10)
-    words, others = ([bytes(rng.choices(b"abcdefgh", k=6)) for _ in range(40)] for _ in range(2))
-    for told in (words, others):
-        docs = [rng.choices(words, k=2000), *(rng.choices(told, k=8) for _ in range(20))]
-        block = lm_score.Block(docs, 1)
-        code = lm_score.Code(np.bincount(block.data[: block.size[0]], minlength=256))
-        (favour,) = lm_score.answers(code, [block.keys], [block.counts(np.arange(21) == 0)])
-        fixed, learning = (lm_score.Scorer(code, block, favour, *rates).scores()[1:].sum() for rates in ((0, 0), ()))
-        assert learning > fixed + 1
+    words = [f"w{i}" for i in range(60)]
+    texts = [" ".join(rng.choices(words, k=rng.randrange(1, 50))) for _ in range(40)]
+    texts += [None, "", "é Ünseen WORDS never\tthere", texts[0], texts[0].upper(), "w1 " * 300]
+    rows = list(enumerate(texts))
+    df = spark.createDataFrame([(i, t, None, None, None) for i, t in rows], DOCS)
+    code, total, distinct = lm_score.fit(df.filter("doc_id % 4 <> 1"), 3, common=20)
+    assert 0 < len(code.hashes) <= 20 < distinct < total
+    want = plain_scores(rows, lambda i: i % 4 != 1, 20, code)
+    got = {r["doc_id"]: r["score"] for r in score_documents(df, F.col("doc_id") % 4 != 1, common=20, block_bytes=500).collect()}
+    assert got.keys() == want.keys()
+    for i, x in want.items():
+        assert got[i] == pytest.approx(x, rel=1e-3, abs=1e-3), i
+
+
+def test_scoring_code_is_a_probability():
+    """Over all tokens of a code, the first predictor's probabilities add up to one."""
+    from recollect.llm import lm_score as lm
+
+    rng = np.random.default_rng(3)
+    code = lm.Code(rng.integers(0, 1 << 63, 200).astype(np.uint64), rng.integers(1, 1000, 200), rng.integers(0, 3, lm.RARE).astype(float), 50, (np.zeros(0, np.uint32), np.zeros(0, np.int64)))
+    p = 1 / (1 + np.exp(-code.base / lm.SCALE))
+    assert np.exp(np.add.reduceat(np.log(p), code.begin)).sum() == pytest.approx(1, abs=0.05)
+    assert np.exp(code.spell([bytes([a]) for a in range(33, 256)] + [b""])).sum() <= 1
 
 
 def test_pipeline_and_empty_tables(spark):
