@@ -47,6 +47,8 @@ RARE_BITS, ID_BITS, CONTEXT_BITS, CODE_BITS = 16, 18, 27, 56
 RARE = 1 << RARE_BITS
 #: Log-odds are told in whole steps of one over this, and lie within 10 of zero.
 SCALE = 12.7
+#: Steps that a difference of 1.7 from the first predictor's log-odds is told in.
+FINE = 6.0
 #: Counts that the first predictor's probability stands for, beside a context of one word and of two.
 PRIOR = (3.0, 0.5)
 #: Mixer and map learn after so many tokens, from a text's beginning to its end.
@@ -55,7 +57,7 @@ WINDOW = 16
 SURE = (1.0, 3.0)
 GATES = (len(SURE) + 1) ** 2
 START_WEIGHTS = np.tile(np.array([[0.35, 0.35, 0.3]], np.float32), (GATES, 1))
-BUCKETS = 16
+BUCKETS = 25
 LETTER_PRIOR = 4.0
 
 
@@ -338,12 +340,15 @@ CHANCE = 1 / (1 + np.exp(np.arange(-128, 128) / -SCALE))
 
 
 def narrowed(odds: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Log-odds as their difference from the first predictor's, in quarters."""
-    return np.rint((np.clip(odds, -10, 10) - first / SCALE) * 4).astype(np.int8)
+    """Log-odds as their difference from the first predictor's, in steps that grow with the difference."""
+    apart = np.clip(odds, -10, 10) - first / SCALE
+    return np.rint(np.copysign(FINE * np.log1p(np.abs(apart)), apart)).astype(np.int8)
 
 
-def widened(steps_apart: np.ndarray, first: np.ndarray) -> np.ndarray:
-    return np.clip(first + np.rint(steps_apart * (SCALE / 4)), -127, 127).astype(np.int8)
+def widened(told: np.ndarray, first: np.ndarray) -> np.ndarray:
+    told = told.astype(np.float64)
+    apart = np.copysign(np.expm1(np.abs(told) / FINE), told)
+    return np.clip(np.rint(first + apart * SCALE), -127, 127).astype(np.int8)
 
 
 def favours(code: Code, keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -400,30 +405,19 @@ def answer(code: Code, keys: list[np.ndarray], counts: list[np.ndarray]) -> Iter
 #: Of log-odds as an unsigned byte: their value, and how sure they are.
 WIDE = (np.arange(256, dtype=np.uint8).view(np.int8) / SCALE).astype(np.float32)
 LEVEL = sum((np.abs(WIDE) > limit).astype(np.int32) for limit in SURE)
+ALONE = alone_table().reshape(-1)
+WIDENED = np.array([widened(np.full(256, x, np.int8), np.arange(-128, 128)) for x in range(-128, 128)]).reshape(-1)
 
 
 class Scorer:
     """Scores the documents of a block, given the answers for its pairs and the counts of its words without a path."""
 
-    def __init__(self, code: Code, block: Block, told: tuple[np.ndarray, np.ndarray, np.ndarray], totals: np.ndarray, rate: float = 0.02, map_rate: float = 0.02):
+    def __init__(self, code: Code, block: Block, told: tuple[np.ndarray, np.ndarray, np.ndarray], totals: np.ndarray, rate: float = 0.05, map_rate: float = 0.02):
         self.code, self.block, self.rate, self.map_rate = code, block, rate, map_rate
-        seen, depth, odds = told
-        number = (block.keys & np.uint64((1 << ID_BITS) - 1)).astype(np.int32)
-        length = code.length[number]
-        begin = np.cumsum(length, dtype=np.int32) - length
-        self.pair_at = begin
-        at = np.repeat(code.begin[number] - begin, length)
-        at += np.arange(len(at), dtype=np.int32)
-        base = code.base[at]
-        row = (block.keys >> np.uint64(ID_BITS) & np.uint64(1)).astype(np.int32) * 256 + seen
-        at = np.repeat(row * 256 + 128, length)
-        at += base
-        self.odds = alone_table().reshape(-1)[at]
-        depth = depth.astype(np.int32)
-        at = np.repeat(begin - (np.cumsum(depth, dtype=np.int32) - depth), depth)
-        at += np.arange(len(at), dtype=np.int32)
-        self.odds[at] = widened(odds, base[at])
-        del at, base, row
+        seen, depth, self.odds = told
+        self.row = ((block.keys >> np.uint64(ID_BITS) & np.uint64(1)).astype(np.int32) * 256 + seen) * 256
+        self.depth = depth.astype(np.int32)
+        self.odds_at = np.cumsum(self.depth, dtype=np.int32) - self.depth
         # Of words without a path: what is left when the decisions are coded; unseen ones leave the path at the escape.
         count = block.count.copy()
         count[block.other] = totals[block.word_at]
@@ -439,7 +433,23 @@ class Scorer:
             number = {w: i for i, w in enumerate(dict.fromkeys(words))}
             self.rest[never] = code.spell(list(number))[[number[w] for w in words]]
         middle = (np.arange(BUCKETS) + 0.5) / 2
-        self.map = (1 / (1 + np.exp(-middle))).astype(np.float32)
+        self.map = (0.25 / (1 + np.exp(-middle)) - 0.125).astype(np.float32)
+
+    def _answered(self, pair: np.ndarray, begin: np.ndarray, length: np.ndarray, base: np.ndarray) -> np.ndarray:
+        """Log-odds for each decision of tokens with these pairs."""
+        at = np.repeat(self.row[pair], length)
+        at += base
+        out = ALONE[at]
+        depth = np.minimum(self.depth[pair], length)
+        before = np.cumsum(depth, dtype=np.int32) - depth
+        place, source = np.repeat(begin - before, depth), np.repeat(self.odds_at[pair] - before, depth)
+        steps_on = np.arange(len(place), dtype=np.int32)
+        place += steps_on
+        source += steps_on
+        which = (self.odds[source].astype(np.int32) + 128) << 8
+        which += base[place]
+        out[place] = WIDENED[which]
+        return out.view(np.uint8)
 
     def group(self, docs: np.ndarray) -> np.ndarray:
         """Natural-log probability of each document's decisions; documents come longest first."""
@@ -448,25 +458,29 @@ class Scorer:
         size = block.size[docs]
         _, within = spread(size)
         doc = np.repeat(np.arange(len(docs), dtype=np.int32), size)
-        order = np.lexsort((doc, within // WINDOW)) if size[0] > WINDOW else slice(None)
-        doc, token = doc[order], (np.repeat(block.begin[docs], size) + within)[order]
-        window = (within // WINDOW)[order]
-        length = code.length[block.number[token]]
+        window = within // WINDOW
+        token = np.repeat(block.begin[docs], size) + within
+        if size[0] > WINDOW:
+            order = np.argsort(window, kind="stable")
+            doc, token, window = doc[order], token[order], window[order]
+        number = block.number[token]
+        length = code.length[number]
         left = self.unseen[token]
         length[left] = code.escape + 1
         begin = np.cumsum(length, dtype=np.int32) - length
-        within = np.arange(int(length.sum()), dtype=np.int32)
+        at = np.repeat(code.begin[number] - begin, length)
+        at += np.arange(len(at), dtype=np.int32)
+        base = code.base[at].view(np.uint8)
+        middle = base ^ np.uint8(128)
         doc = np.repeat(doc, length)
         gate = doc * np.int32(GATES)
-        x, last = [], (begin + length - 1)[left]
-        for source, place, level in ((code.base, code.begin[block.number[token]], None), (self.odds, self.pair_at[block.pair[0][token]], LEVEL * np.int32(len(SURE) + 1)), (self.odds, self.pair_at[block.pair[1][token]], LEVEL)):
-            at = np.repeat(place - begin, length)
-            at += within
-            steps_of = source[at].view(np.uint8)
-            x.append(WIDE[steps_of])
-            x[-1][last] *= -1  # for the words that training never had, the other outcome
-            if level is not None:
-                gate += level[steps_of]
+        x, last = [WIDE[base]], (begin + length - 1)[left]
+        for pair, level in ((block.pair[0][token], LEVEL * np.int32(len(SURE) + 1)), (block.pair[1][token], LEVEL)):
+            found = self._answered(pair, begin, length, middle)
+            x.append(WIDE[found])
+            gate += level[found]
+        for v in x:
+            v[last] *= -1  # for the words that training never had, the other outcome
         cells = doc * np.int32(BUCKETS)
         starts = np.flatnonzero(np.diff(window, prepend=-1))
         cuts = np.append(begin[starts], len(doc)).tolist()
@@ -476,7 +490,7 @@ class Scorer:
         for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
             live = int(doc[hi - 1]) + 1
             self._window(gate[lo:hi], cells[lo:hi], [v[lo:hi] for v in x], weights[:, : live * GATES], maps[: live * BUCKETS], told[lo:hi])
-        return np.bincount(doc, np.log(told, dtype=np.float64), len(docs))
+        return np.bincount(doc, np.log(told), len(docs))
 
     def _window(self, gate, cells, x, weights, maps, told) -> None:
         z = weights[0][gate]
@@ -487,23 +501,25 @@ class Scorer:
         error = np.exp(z)
         error += 1
         np.reciprocal(error, out=error)  # one less the probability of what came true
-        # The map tells how often the likelier outcome comes true, by how sure the mixer is of it.
-        right = z >= 0
-        cell = cells + np.minimum(np.abs(z) * 2, BUCKETS - 1).astype(np.int32)
-        refined = maps[cell]
-        np.subtract(1, refined, out=refined, where=~right)
-        refined -= 3 * error
-        refined *= 0.25
-        refined += 0.75
-        np.clip(refined, 1e-6, 1 - 1e-6, out=told)
+        # The map tells how often the likelier outcome comes true, by how sure the mixer is of it, as a quarter of what is over one half.
+        np.copysign(1, z, out=told)
+        z *= told
+        z *= 2
+        cell = z.astype(np.int32)
+        cell += cells
+        told *= maps[cell]
+        told += 0.875
+        told -= 0.75 * error
         # Learning, after the window is coded.
         size = weights.shape[1]
         scale = self.rate / np.sqrt(np.maximum(np.bincount(gate, minlength=size), 1))
         for k in range(3):
             weights[k] += scale * np.bincount(gate, error * x[k], size)
-        hits = np.bincount(cell, minlength=len(maps))
-        came = np.bincount(cell, right, len(maps))
-        maps += (1 - (1 - self.map_rate) ** hits) * (came / np.maximum(hits, 1) - maps)
+        cell *= 2
+        cell += error < 0.5
+        came = np.bincount(cell, minlength=2 * len(maps)).reshape(-1, 2)
+        hits = came.sum(1)
+        maps += (1 - (1 - self.map_rate) ** hits) * (0.25 * came[:, 1] / np.maximum(hits, 1) - 0.125 - maps)
 
     def scores(self, budget: int = 120_000) -> np.ndarray:
         """Log10 probabilities; documents are taken together up to so many tokens, of like length."""

@@ -313,18 +313,18 @@ def plain_scores(rows, trainable, common, code):
                     gate = 3 * sum(abs(x[1]) > s for s in lm.SURE) + sum(abs(x[2]) > s for s in lm.SURE)
                     z = float(np.clip(weights[gate] @ x, -12, 12))
                     chance = 1 / (1 + math.exp(-z))
-                    cell = min(int(abs(z) * 2), lm.BUCKETS - 1)
+                    cell = int(abs(z) * 2)
                     refined = 0.75 * chance + 0.25 * (maps[cell] if z >= 0 else 1 - maps[cell])
-                    total += math.log(min(max(refined, 1e-6), 1 - 1e-6))
+                    total += math.log(refined)
                     error[gate] += (1 - chance) * x
                     seen[gate] += 1
                     hits[cell] += 1
-                    came[cell] += z >= 0
+                    came[cell] += z > 0
                 if unseen:
                     total += float(code.spell([w])[0])
                 elif number > code.unseen and number <= code.unseen + lm.RARE:
                     total += math.log(count[w] / code.rare[number - code.unseen - 1])
-            weights += 0.02 * error / np.sqrt(np.maximum(seen, 1))[:, None]
+            weights += 0.05 * error / np.sqrt(np.maximum(seen, 1))[:, None]
             maps += (1 - 0.98**hits) * (came / np.maximum(hits, 1) - maps)
         out[i] = total / math.log(10)
     return out
