@@ -51,13 +51,16 @@ SCALE = 12.7
 FINE = 6.0
 #: Counts that the first predictor's probability stands for, beside a context of one word and of two.
 PRIOR = (3.0, 0.5)
+#: Counts that make a context of one word, and of two, worth hearing; where a node has fewer, the first predictor's stand.
+ENOUGH = (4, 1)
+#: No decision is held more certain than these log-odds; buckets of a half each.
 #: Mixer and map learn after so many tokens, from a text's beginning to its end.
 WINDOW = 16
 #: Weights of the predictors at a text's beginning, by gate: how sure one word before is, then how sure two words before are.
 SURE = (1.0, 3.0)
 GATES = (len(SURE) + 1) ** 2
 START_WEIGHTS = np.tile(np.array([[0.35, 0.35, 0.3]], np.float32), (GATES, 1))
-BUCKETS = 25
+MOST, BUCKETS = 7.99, 16
 LETTER_PRIOR = 4.0
 
 
@@ -147,6 +150,15 @@ def tally(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return values[new], np.diff(new, append=len(values))
 
 
+def pack_pairs(keys: np.ndarray) -> tuple[bytes, bytes]:
+    """Rising pairs as the steps between contexts, and tokens' numbers as they are: common tokens have small ones."""
+    return pack(steps(keys >> np.uint64(ID_BITS))), pack((keys & np.uint64((1 << ID_BITS) - 1)).astype(np.uint32))
+
+
+def unpack_pairs(contexts: bytes, numbers: bytes) -> np.ndarray:
+    return np.cumsum(unpack(contexts, np.uint64), dtype=np.uint64) << np.uint64(ID_BITS) | unpack(numbers, np.uint32)
+
+
 def add_up(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Each key once, rising, with the sum of its counts."""
     order = np.argsort(keys)
@@ -360,26 +372,33 @@ def favours(code: Code, keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarra
     same = (keys[1:] >> np.uint64(ID_BITS)) == (keys[:-1] >> np.uint64(ID_BITS))
     shared[1:-1] = np.where(same, CODE_BITS - np.frexp(apart.astype(np.float64))[1], -1)
     depth = np.maximum(shared[1:], shared[:-1]) + 1
-    begin = np.cumsum(depth, dtype=np.int64) - depth
-    out = np.empty(int(depth.sum()), np.int8)
     at = np.flatnonzero(depth)
     n, common, deep = counts[at].astype(np.float64), shared[:-1][at], depth[at]
-    prior = np.where((keys[at] >> np.uint64(ID_BITS)) & np.uint64(1), PRIOR[1], PRIOR[0])
-    base, to = code.begin[number[at]], begin[at]
+    tag = (keys[at] >> np.uint64(ID_BITS)).astype(np.int32) & 1
+    base, to = code.begin[number[at]], at
+    found: list[tuple[np.ndarray, np.ndarray]] = []
     d = 0
     while len(n):
         starts = np.flatnonzero(common < d)
         node = np.repeat(np.add.reduceat(n, starts), np.diff(starts, append=len(n)))
+        stay = (deep > d) & (node >= np.array(ENOUGH)[tag])
+        depth[to[~stay]] = d
+        if not stay.all():
+            n, common, deep, tag, base, to, node = (x[stay] for x in (n, common, deep, tag, base, to, node))
+        if not len(n):
+            break
         starts = np.flatnonzero(common < d + 1)
         child = np.repeat(np.add.reduceat(n, starts), np.diff(starts, append=len(n)))
         first = code.base[base + d]
+        prior = np.array(PRIOR)[tag]
         p = prior * CHANCE[first.astype(np.int32) + 128]
         odds = np.log((child + p) / (node - child + prior - p))
-        out[to + d] = narrowed(odds, first)
+        found.append((to, narrowed(odds, first)))
         d += 1
-        stay = deep > d
-        if not stay.all():
-            n, common, deep, prior, base, to = (x[stay] for x in (n, common, deep, prior, base, to))
+    begin = np.cumsum(depth, dtype=np.int64) - depth
+    out = np.empty(int(depth.sum()), np.int8)
+    for d, (to, odds) in enumerate(found):
+        out[begin[to] + d] = odds
     return depth.astype(np.uint8), out
 
 
@@ -395,16 +414,14 @@ def answer(code: Code, keys: list[np.ndarray], counts: list[np.ndarray]) -> Iter
     seen = np.bincount(at, np.concatenate(counts), len(pairs))
     depth, odds = favours(code, pairs, seen)
     begin = np.cumsum(depth, dtype=np.int64) - depth
-    short = np.minimum(seen, 255).astype(np.uint8)
+    tag = (pairs >> np.uint64(ID_BITS)).astype(np.int32) & 1
+    short = np.where(seen >= np.array(ENOUGH)[tag], np.minimum(seen, 255), 0).astype(np.uint8)
     for own in np.split(at, np.cumsum([len(k) for k in keys])[:-1]):
         length = depth[own].astype(np.int32)
         _, within = spread(length)
         yield short[own], depth[own], odds[np.repeat(begin[own], length) + within]
 
 
-#: Of log-odds as an unsigned byte: their value, and how sure they are.
-WIDE = (np.arange(256, dtype=np.uint8).view(np.int8) / SCALE).astype(np.float32)
-LEVEL = sum((np.abs(WIDE) > limit).astype(np.int32) for limit in SURE)
 ALONE = alone_table().reshape(-1)
 WIDENED = np.array([widened(np.full(256, x, np.int8), np.arange(-128, 128)) for x in range(-128, 128)]).reshape(-1)
 
@@ -412,12 +429,12 @@ WIDENED = np.array([widened(np.full(256, x, np.int8), np.arange(-128, 128)) for
 class Scorer:
     """Scores the documents of a block, given the answers for its pairs and the counts of its words without a path."""
 
-    def __init__(self, code: Code, block: Block, told: tuple[np.ndarray, np.ndarray, np.ndarray], totals: np.ndarray, rate: float = 0.05, map_rate: float = 0.02):
-        self.code, self.block, self.rate, self.map_rate = code, block, rate, map_rate
+    def __init__(self, code: Code, block: Block, told: tuple[np.ndarray, np.ndarray, np.ndarray], totals: np.ndarray, rate: float = 0.1, map_prior: float = 64.0):
+        self.code, self.block, self.rate = code, block, rate
         seen, depth, self.odds = told
-        self.row = ((block.keys >> np.uint64(ID_BITS) & np.uint64(1)).astype(np.int32) * 256 + seen) * 256
-        self.depth = depth.astype(np.int32)
-        self.odds_at = np.cumsum(self.depth, dtype=np.int32) - self.depth
+        self.row = ((block.keys >> np.uint64(ID_BITS) & np.uint64(1)).astype(np.int64) * 256 + seen) * 256
+        self.depth = depth.astype(np.int64)
+        self.odds_at = np.cumsum(self.depth) - self.depth
         # Of words without a path: what is left when the decisions are coded; unseen ones leave the path at the escape.
         count = block.count.copy()
         count[block.other] = totals[block.word_at]
@@ -433,7 +450,7 @@ class Scorer:
             number = {w: i for i, w in enumerate(dict.fromkeys(words))}
             self.rest[never] = code.spell(list(number))[[number[w] for w in words]]
         middle = (np.arange(BUCKETS) + 0.5) / 2
-        self.map = (0.25 / (1 + np.exp(-middle)) - 0.125).astype(np.float32)
+        self.map = (map_prior * np.array([1 / (1 + np.exp(-middle)), np.ones(BUCKETS)])).astype(np.float32)
 
     def _answered(self, pair: np.ndarray, begin: np.ndarray, length: np.ndarray, base: np.ndarray) -> np.ndarray:
         """Log-odds for each decision of tokens with these pairs."""
@@ -441,15 +458,17 @@ class Scorer:
         at += base
         out = ALONE[at]
         depth = np.minimum(self.depth[pair], length)
-        before = np.cumsum(depth, dtype=np.int32) - depth
+        before = np.cumsum(depth) - depth
         place, source = np.repeat(begin - before, depth), np.repeat(self.odds_at[pair] - before, depth)
-        steps_on = np.arange(len(place), dtype=np.int32)
+        steps_on = np.arange(len(place))
         place += steps_on
         source += steps_on
-        which = (self.odds[source].astype(np.int32) + 128) << 8
-        which += base[place]
-        out[place] = WIDENED[which]
-        return out.view(np.uint8)
+        np.copyto(steps_on, self.odds[source])
+        steps_on += 128
+        steps_on <<= 8
+        steps_on += base[place]
+        out[place] = WIDENED[steps_on]
+        return out
 
     def group(self, docs: np.ndarray) -> np.ndarray:
         """Natural-log probability of each document's decisions; documents come longest first."""
@@ -457,31 +476,34 @@ class Scorer:
         # Tokens by window, then by document: what is learned from a window serves the next one.
         size = block.size[docs]
         _, within = spread(size)
-        doc = np.repeat(np.arange(len(docs), dtype=np.int32), size)
+        doc = np.repeat(np.arange(len(docs)), size)
         window = within // WINDOW
         token = np.repeat(block.begin[docs], size) + within
         if size[0] > WINDOW:
             order = np.argsort(window, kind="stable")
             doc, token, window = doc[order], token[order], window[order]
         number = block.number[token]
-        length = code.length[number]
+        length = code.length[number].astype(np.int64)
         left = self.unseen[token]
         length[left] = code.escape + 1
-        begin = np.cumsum(length, dtype=np.int32) - length
+        begin = np.cumsum(length) - length
         at = np.repeat(code.begin[number] - begin, length)
-        at += np.arange(len(at), dtype=np.int32)
-        base = code.base[at].view(np.uint8)
-        middle = base ^ np.uint8(128)
+        at += np.arange(len(at))
+        base = code.base[at]
+        middle = base.view(np.uint8) ^ np.uint8(128)
+        del at
         doc = np.repeat(doc, length)
-        gate = doc * np.int32(GATES)
-        x, last = [WIDE[base]], (begin + length - 1)[left]
-        for pair, level in ((block.pair[0][token], LEVEL * np.int32(len(SURE) + 1)), (block.pair[1][token], LEVEL)):
-            found = self._answered(pair, begin, length, middle)
-            x.append(WIDE[found])
-            gate += level[found]
-        for v in x:
-            v[last] *= -1  # for the words that training never had, the other outcome
-        cells = doc * np.int32(BUCKETS)
+        gate = doc * GATES
+        x, last = [], (begin + length - 1)[left]
+        for k, found in enumerate((base, *(self._answered(p[token], begin, length, middle) for p in block.pair))):
+            if k:
+                sure = np.abs(found)
+                level = sum((sure > round(limit * SCALE)).view(np.int8) for limit in SURE)
+                gate += level * np.int8(len(SURE) + 1 if k == 1 else 1)
+            x.append(found.astype(np.float32))
+            x[-1] *= np.float32(1 / SCALE)
+            x[-1][last] *= -1  # for the words that training never had, the other outcome
+        cells = doc * BUCKETS
         starts = np.flatnonzero(np.diff(window, prepend=-1))
         cuts = np.append(begin[starts], len(doc)).tolist()
         weights = np.tile(START_WEIGHTS, (len(docs), 1)).T.copy()
@@ -489,7 +511,7 @@ class Scorer:
         told = np.empty(len(doc), np.float32)
         for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
             live = int(doc[hi - 1]) + 1
-            self._window(gate[lo:hi], cells[lo:hi], [v[lo:hi] for v in x], weights[:, : live * GATES], maps[: live * BUCKETS], told[lo:hi])
+            self._window(gate[lo:hi], cells[lo:hi], [v[lo:hi] for v in x], weights[:, : live * GATES], maps[:, : live * BUCKETS], told[lo:hi])
         return np.bincount(doc, np.log(told), len(docs))
 
     def _window(self, gate, cells, x, weights, maps, told) -> None:
@@ -497,17 +519,18 @@ class Scorer:
         z *= x[0]
         z += weights[1][gate] * x[1]
         z += weights[2][gate] * x[2]
-        np.clip(z, -12, 12, out=z)
+        np.clip(z, -MOST, MOST, out=z)
         error = np.exp(z)
         error += 1
         np.reciprocal(error, out=error)  # one less the probability of what came true
         # The map tells how often the likelier outcome comes true, by how sure the mixer is of it, as a quarter of what is over one half.
-        np.copysign(1, z, out=told)
+        np.sign(z, out=told)
+        came = told.astype(np.int64)
         z *= told
         z *= 2
-        cell = z.astype(np.int32)
+        cell = z.astype(np.int64)
         cell += cells
-        told *= maps[cell]
+        told *= (0.25 * maps[0] / maps[1] - 0.125)[cell]
         told += 0.875
         told -= 0.75 * error
         # Learning, after the window is coded.
@@ -515,11 +538,12 @@ class Scorer:
         scale = self.rate / np.sqrt(np.maximum(np.bincount(gate, minlength=size), 1))
         for k in range(3):
             weights[k] += scale * np.bincount(gate, error * x[k], size)
-        cell *= 2
-        cell += error < 0.5
-        came = np.bincount(cell, minlength=2 * len(maps)).reshape(-1, 2)
-        hits = came.sum(1)
-        maps += (1 - (1 - self.map_rate) ** hits) * (0.25 * came[:, 1] / np.maximum(hits, 1) - 0.125 - maps)
+        cell *= 3
+        cell += came
+        came = np.bincount(cell + 1, minlength=3 * maps.shape[1]).reshape(-1, 3)  # wrong, undecided, right
+        maps[0] += came[:, 2]
+        maps[1] += came[:, 0]
+        maps[1] += came[:, 2]
 
     def scores(self, budget: int = 120_000) -> np.ndarray:
         """Log10 probabilities; documents are taken together up to so many tokens, of like length."""
@@ -538,6 +562,10 @@ class Scorer:
         return np.add.reduceat((self.known > 0).astype(np.int64), begin), np.add.reduceat(np.log10(self.known + 1), begin)
 
 
+#: Among the parts of words (from 0) and letters (from -256), the one that tells how many characters there are.
+SIZE = -257
+
+
 def _count(parts: int, at_once: int = 2_000_000):
     """Words and letters of one partition's texts: hashes by part, then codes of three letters by their first bits."""
 
@@ -558,7 +586,10 @@ def _count(parts: int, at_once: int = 2_000_000):
             words.clear()
             return out(((keys >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64), keys, counts)
 
-        for (told,) in batches(rows, "text"):
+        size = 0
+        for told, train in batches(rows, "text", "train"):
+            size += sum(len(t) for t in told if t)
+            told = [t for t, x in zip(told, train, strict=True) if x]
             for lo, hi in spans_of(told):
                 texts = Texts(told[lo:hi])
                 words.append(tally(np.append(texts.hashes, np.full(hi - lo, END))))
@@ -574,12 +605,15 @@ def _count(parts: int, at_once: int = 2_000_000):
         if letters:
             codes, counts = joined(letters)
             yield out((codes >> 16).astype(np.int64) - 256, codes.astype(np.uint64), counts)
+        yield out(np.array([SIZE]), np.zeros(1, np.uint64), np.array([size]))
 
     return run
 
 
 def spans_of(texts: list[str | None], characters: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Runs of texts of together about so many characters."""
+    if not texts:
+        return
     ends = np.cumsum([len(t) if t else 0 for t in texts])
     cuts = np.flatnonzero(np.diff(ends // characters)) + 1
     yield from zip([0, *cuts.tolist()], [*cuts.tolist(), len(texts)], strict=True)
@@ -613,19 +647,17 @@ def _pick(least: int):
     return run
 
 
-def fit(docs: DataFrame, parts: int, common: int = 1 << 17) -> tuple[Code, int, int]:
-    """The code of the tokens of these texts, how many tokens they have and how many distinct ones.
+def fit(docs: DataFrame, parts: int, common: int = 1 << 17) -> tuple[Code, int, int, int]:
+    """The code of the tokens of the rows for training, how many tokens these have, how many distinct ones, and the characters of all rows.
 
     Only the code's parts go to the driver: `common` hashes, 2^16 sums, the letters, and some hundred buckets of counts.
     """
     if common + RARE >= 1 << ID_BITS:
         raise ValueError("common is too large")
-    counted = docs.select("text").mapInArrow(_count(parts), "part int, keys binary, counts binary")
+    counted = docs.select("text", "train").mapInArrow(_count(parts), "part int, keys binary, counts binary")
     sums = checkpoint(counted.groupBy("part").applyInArrow(_sum, "part int, keys binary, counts binary, total long, shape array<struct<bucket: long, words: long>>"))
-    del counted
-    release(docs.sparkSession)
     words = sums.filter("part >= 0")
-    total = words.agg(F.coalesce(F.sum("total"), F.lit(0))).first()[0]
+    total, size = sums.agg(*(F.coalesce(F.sum(F.when(F.expr(which), F.col("total"))), F.lit(0)) for which in ("part >= 0", f"part = {SIZE}"))).first()
     shape = words.select(F.inline("shape")).groupBy("bucket").agg(F.sum("words").alias("n")).orderBy("bucket").collect()
     distinct, once = sum(r["n"] for r in shape), next((r["n"] for r in shape if r["bucket"] == 0), 0)
     least, kept = 0, distinct
@@ -634,15 +666,15 @@ def fit(docs: DataFrame, parts: int, common: int = 1 << 17) -> tuple[Code, int,
             break
         kept, least = kept - r["n"], r["bucket"] + 1
     picked = words.select("keys", "counts").mapInArrow(_pick(least), "top boolean, key long, n long").groupBy("top", "key").agg(F.sum("n").alias("n")).toPandas()
-    top, rest = picked[picked["top"]], picked[~picked["top"].astype(bool)]
+    top, rest = picked[picked["top"].astype(bool)], picked[~picked["top"].astype(bool)]
     rare = np.zeros(RARE)
     rare[rest["key"].to_numpy(np.int64)] = rest["n"]
     letters, n = np.zeros(0, np.uint32), np.zeros(0, np.int64)
-    for r in sums.filter("part < 0").select("keys", "counts").collect():
+    for r in sums.filter(f"part < 0 AND part <> {SIZE}").select("keys", "counts").collect():
         letters = np.append(letters, np.cumsum(unpack(r["keys"], np.uint64), dtype=np.uint64).astype(np.uint32))
         n = np.append(n, unpack(r["counts"], np.int64))
     order = np.argsort(letters)
-    return Code(top["key"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64), rare, once, (letters[order], n[order])), total, distinct
+    return Code(top["key"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64), rare, once, (letters[order], n[order])), total, distinct, size
 
 
 def _ask(model, parts: int):
@@ -655,16 +687,17 @@ def _ask(model, parts: int):
         for p in range(parts):
             (a, b), (c, d) = block.cuts[p : p + 2], block.word_cuts[p : p + 2]
             if a < b or c < d:
-                out.append((rows["block"][0].as_py(), p, pack(steps(block.keys[a:b])), pack(pairs[a:b]), pack(steps(block.words[c:d])), pack(words[c:d])))
-        kinds = (pa.int32(), pa.int32(), *[pa.binary()] * 4)
-        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["block", "part", "keys", "counts", "words", "word_counts"])
+                out.append((rows["block"][0].as_py(), p, *pack_pairs(block.keys[a:b]), pack(pairs[a:b]), pack(steps(block.words[c:d])), pack(words[c:d])))
+        kinds = (pa.int32(), pa.int32(), *[pa.binary()] * 5)
+        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["block", "part", "contexts", "numbers", "counts", "words", "word_counts"])
 
     return run
 
 
 def _answer(model):
     def run(rows: pa.Table) -> pa.Table:
-        keys, words = ([np.cumsum(unpack(k, np.uint64), dtype=np.uint64) for k in rows[c].to_pylist()] for c in ("keys", "words"))
+        keys = [unpack_pairs(*x) for x in zip(rows["contexts"].to_pylist(), rows["numbers"].to_pylist(), strict=True)]
+        words = [np.cumsum(unpack(k, np.uint64), dtype=np.uint64) for k in rows["words"].to_pylist()]
         counts, word_counts = ([unpack(k, np.uint32) for k in rows[c].to_pylist()] for c in ("counts", "word_counts"))
         told = [[pack(x) for x in t] for t in answer(model.value, keys, counts)]
         distinct, at = np.unique(np.concatenate(words), return_inverse=True)
@@ -676,13 +709,14 @@ def _answer(model):
     return run
 
 
-def score_documents(docs: DataFrame, trainable: Column, common: int = 1 << 17, block_bytes: int = 12 << 20) -> DataFrame:
+def score_documents(docs: DataFrame, trainable: Column, common: int = 1 << 17, block_bytes: int = 12_000_000) -> DataFrame:
     """doc_id, text bytes, n_tokens, n_known, train_tokens, base_score and score (both log10) of each row."""
     spark = docs.sparkSession
-    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    rows = docs.select("doc_id", "text", F.coalesce(trainable, F.lit(False)).alias("train"))
+    code, total, distinct, size = fit(rows, partitions_for(docs), common)
+    release(spark)
     blocks = max(partitions_for(docs), -(-size // block_bytes))
     parts = max(partitions_for(docs), -(-size // (2 * block_bytes)))
-    code, total, distinct = fit(docs.filter(trainable), parts, common)
     model = spark.sparkContext.broadcast(code)
     whole = math.log10(total + distinct + 1)
 
@@ -696,8 +730,7 @@ def score_documents(docs: DataFrame, trainable: Column, common: int = 1 << 17, b
         return pa.table({"doc_id": rows["doc_id"], "n_bytes": texts.n_bytes, "n_tokens": n, "n_known": n_known, "train_tokens": np.full(len(n), total), "base_score": logs - n * whole, "score": scorer.scores()})
 
     # Both uses of the dealt rows have one plan, so that they are shuffled once.
-    block = F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int")
-    dealt = docs.select("doc_id", "text", F.coalesce(trainable, F.lit(False)).alias("train"), block.alias("block"))
-    asked = dealt.groupBy("block").applyInArrow(_ask(model, parts), "block int, part int, keys binary, counts binary, words binary, word_counts binary")
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int"))
+    asked = dealt.groupBy("block").applyInArrow(_ask(model, parts), "block int, part int, contexts binary, numbers binary, counts binary, words binary, word_counts binary")
     told = asked.groupBy("part").applyInArrow(_answer(model), "block int, part int, seen binary, depth binary, odds binary, totals binary")
     return dealt.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(run, "doc_id long, n_bytes long, n_tokens long, n_known long, train_tokens long, base_score double, score double")

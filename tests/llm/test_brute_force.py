@@ -290,10 +290,12 @@ def plain_scores(rows, trainable, common, code):
     alone = lm.alone_table()
     out = {}
     for i, tokens in docs.items():
-        weights, maps = lm.START_WEIGHTS.astype(float).copy(), 1 / (1 + np.exp(-(np.arange(lm.BUCKETS) + 0.5) / 2))
+        weights = lm.START_WEIGHTS.astype(float).copy()
+        hits = np.full(lm.BUCKETS, 64.0)
+        came = hits / (1 + np.exp(-(np.arange(lm.BUCKETS) + 0.5) / 2))
         total = 0.0
         for lo in range(0, len(tokens), lm.WINDOW):
-            error, hits, came, seen = np.zeros_like(weights), np.zeros(lm.BUCKETS), np.zeros(lm.BUCKETS), np.zeros(lm.GATES)
+            error, seen, map_now = np.zeros_like(weights), np.zeros(lm.GATES), came / hits
             for k in range(lo, min(lo + lm.WINDOW, len(tokens))):
                 w = tokens[k]
                 number, h = number_of(w)
@@ -304,28 +306,28 @@ def plain_scores(rows, trainable, common, code):
                     for c in contexts[i, k]:
                         prior = lm.PRIOR[c[0] - 1]
                         whole, part = node[c, p[:d]], node[c, p[: d + 1]]
-                        if len(under[c, p[:d]]) == 1:
+                        if whole < lm.ENOUGH[c[0] - 1]:
+                            x.append(first)
+                        elif len(under[c, p[:d]]) == 1:
                             x.append(int(alone[c[0] - 1][min(255, whole)][first + 128]))
                         else:
                             q = prior * lm.CHANCE[first + 128]
                             x.append(int(lm.widened(lm.narrowed(np.log((part + q) / (whole - part + prior - q)), np.int8(first)), np.int8(first))))
                     x = np.array(x) / lm.SCALE * (-1 if unseen and d == code.escape else 1)
-                    gate = 3 * sum(abs(x[1]) > s for s in lm.SURE) + sum(abs(x[2]) > s for s in lm.SURE)
-                    z = float(np.clip(weights[gate] @ x, -12, 12))
+                    gate = 3 * sum(round(abs(x[1]) * lm.SCALE) > round(s * lm.SCALE) for s in lm.SURE) + sum(round(abs(x[2]) * lm.SCALE) > round(s * lm.SCALE) for s in lm.SURE)
+                    z = float(np.clip(weights[gate] @ x, -lm.MOST, lm.MOST))
                     chance = 1 / (1 + math.exp(-z))
                     cell = int(abs(z) * 2)
-                    refined = 0.75 * chance + 0.25 * (maps[cell] if z >= 0 else 1 - maps[cell])
-                    total += math.log(refined)
+                    total += math.log(0.75 * chance + 0.25 * (map_now[cell] if z > 0 else 1 - map_now[cell] if z < 0 else 0.5))
                     error[gate] += (1 - chance) * x
                     seen[gate] += 1
-                    hits[cell] += 1
+                    hits[cell] += z != 0
                     came[cell] += z > 0
                 if unseen:
                     total += float(code.spell([w])[0])
                 elif number > code.unseen and number <= code.unseen + lm.RARE:
                     total += math.log(count[w] / code.rare[number - code.unseen - 1])
-            weights += 0.05 * error / np.sqrt(np.maximum(seen, 1))[:, None]
-            maps += (1 - 0.98**hits) * (came / np.maximum(hits, 1) - maps)
+            weights += 0.1 * error / np.sqrt(np.maximum(seen, 1))[:, None]
         out[i] = total / math.log(10)
     return out
 
@@ -341,7 +343,7 @@ def test_scoring_against_plain_coder(spark):
     texts += [None, "", "é Ünseen WORDS never\tthere", texts[0], texts[0].upper(), "w1 " * 300]
     rows = list(enumerate(texts))
     df = spark.createDataFrame([(i, t, None, None, None) for i, t in rows], DOCS)
-    code, total, distinct = lm_score.fit(df.filter("doc_id % 4 <> 1"), 3, common=20)
+    code, total, distinct, _ = lm_score.fit(df.withColumn("train", F.expr("doc_id % 4 <> 1")), 3, common=20)
     assert 0 < len(code.hashes) <= 20 < distinct < total
     want = plain_scores(rows, lambda i: i % 4 != 1, 20, code)
     got = {r["doc_id"]: r["score"] for r in score_documents(df, F.col("doc_id") % 4 != 1, common=20, block_bytes=500).collect()}
