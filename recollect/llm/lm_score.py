@@ -16,8 +16,8 @@ by its bytes it gives bits per byte.
 The statistics are those of all training texts, and no table of contexts is in one place: documents are dealt to blocks
 of bounded size; each block tells its distinct (context, token) pairs and their counts to the parts of the statistics,
 which are dealt by context; each part adds up and answers each block for the pairs it told. Blocks and parts grow in
-number with the texts, not in size. Contexts are hashes with 27 bits within a part: a part holds some million contexts,
-of which about one in a hundred shares its hash with another. Words are their 64-bit hashes; words of one hash are one.
+number with the texts, not in size. Contexts are hashes with 25 bits within a part: a part holds about a million contexts,
+of which some three in a hundred share their hash with another. Words are their 64-bit hashes; words of one hash are one.
 
 The baseline adds one to the count of each token. What goes to every worker is of fixed size: the hashes and counts of
 the commonest words (`common` at the most), 65,536 sums, and the counts of three letters in a row, of which there are no
@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 from .common import batches, checkpoint, partitions_for, release
 
 #: Bits of a word's hash that are coded as decisions, of a token's number, of a context within a part, and of a code.
-RARE_BITS, ID_BITS, CONTEXT_BITS, CODE_BITS = 16, 18, 27, 56
+RARE_BITS, ID_BITS, CONTEXT_BITS, CODE_BITS = 16, 18, 25, 56
 RARE = 1 << RARE_BITS
 #: Log-odds are told in whole steps of one over this, and lie within 10 of zero.
 SCALE = 12.7
@@ -375,7 +375,7 @@ def favours(code: Code, keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarra
     at = np.flatnonzero(depth)
     n, common, deep = counts[at].astype(np.float64), shared[:-1][at], depth[at]
     tag = (keys[at] >> np.uint64(ID_BITS)).astype(np.int32) & 1
-    base, to = code.begin[number[at]], at
+    base, to = code.begin[number[at]], at.astype(np.int32)
     found: list[tuple[np.ndarray, np.ndarray]] = []
     d = 0
     while len(n):
@@ -408,18 +408,26 @@ def alone_table() -> np.ndarray:
     return np.rint(np.clip(odds, -10, 10) * SCALE).astype(np.int8)
 
 
-def answer(code: Code, keys: list[np.ndarray], counts: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def answer(code: Code, keys: list[np.ndarray], counts: list[np.ndarray], at_once: int = 500_000) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """For each block's pairs: count, depth and log-odds by the sums of all blocks."""
     pairs, at = np.unique(np.concatenate(keys), return_inverse=True)
+    at = at.astype(np.int32)
     seen = np.bincount(at, np.concatenate(counts), len(pairs))
-    depth, odds = favours(code, pairs, seen)
-    begin = np.cumsum(depth, dtype=np.int64) - depth
-    tag = (pairs >> np.uint64(ID_BITS)).astype(np.int32) & 1
+    # Slices end where contexts end.
+    first = np.flatnonzero(np.diff(pairs >> np.uint64(ID_BITS), prepend=~pairs[:1]) != 0)
+    cuts = [*first[np.unique(np.searchsorted(first, np.arange(0, len(pairs), at_once)).clip(max=max(0, len(first) - 1)))].tolist(), len(pairs)]
+    told = [favours(code, pairs[lo:hi], seen[lo:hi]) for lo, hi in zip(cuts[:-1], cuts[1:], strict=True)]
+    depth, odds = (np.concatenate(x) if x else np.zeros(0, np.int8) for x in (list(zip(*told, strict=True)) or ((), ())))
+    del told
+    begin = np.cumsum(depth, dtype=np.int32) - depth
+    tag = (pairs >> np.uint64(ID_BITS)).astype(np.uint8) & 1
     short = np.where(seen >= np.array(ENOUGH)[tag], np.minimum(seen, 255), 0).astype(np.uint8)
+    del pairs, seen, tag
     for own in np.split(at, np.cumsum([len(k) for k in keys])[:-1]):
         length = depth[own].astype(np.int32)
         _, within = spread(length)
-        yield short[own], depth[own], odds[np.repeat(begin[own], length) + within]
+        within += np.repeat(begin[own], length)
+        yield short[own], depth[own], odds[within]
 
 
 ALONE = alone_table().reshape(-1)
@@ -545,7 +553,7 @@ class Scorer:
         maps[1] += came[:, 0]
         maps[1] += came[:, 2]
 
-    def scores(self, budget: int = 120_000) -> np.ndarray:
+    def scores(self, budget: int = 60_000) -> np.ndarray:
         """Log10 probabilities; documents are taken together up to so many tokens, of like length."""
         size = self.block.size
         out = np.add.reduceat(self.rest, self.block.begin) if len(size) else np.zeros(0)
@@ -677,17 +685,41 @@ def fit(docs: DataFrame, parts: int, common: int = 1 << 17) -> tuple[Code, int,
     return Code(top["key"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64), rare, once, (letters[order], n[order])), total, distinct, size
 
 
+def _deal(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A batch's rows by block, those of a block compressed together."""
+    options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=3))
+    for batch in rows:
+        if not batch.num_rows:
+            continue
+        block = batch.column(batch.schema.get_field_index("block")).to_numpy()
+        order = np.argsort(block, kind="stable")
+        there, first = np.unique(block[order], return_index=True)
+        out = []
+        for lo, hi in zip(first, [*first[1:], len(order)], strict=True):
+            sink = pa.BufferOutputStream()
+            own = batch.select(["doc_id", "text", "train"]).take(pa.array(order[lo:hi]))
+            with pa.ipc.new_stream(sink, own.schema, options=options) as writer:
+                writer.write_batch(own)
+            out.append(sink.getvalue().to_pybytes())
+        yield pa.RecordBatch.from_arrays([pa.array(there, pa.int32()), pa.array(out, pa.binary())], names=["block", "rows"])
+
+
+def _dealt(group: pa.Table) -> pa.Table:
+    return pa.concat_tables(pa.ipc.open_stream(raw).read_all() for raw in group["rows"].to_pylist())
+
+
 def _ask(model, parts: int):
     """A block's pairs, and its words without a path, with their counts in its training rows: a row for each part."""
 
-    def run(rows: pa.Table) -> pa.Table:
+    def run(group: pa.Table) -> pa.Table:
+        rows, number = _dealt(group), group["block"][0].as_py()
         block = Block(Texts(rows["text"].to_pylist()), model.value, parts)
         pairs, words = (c.astype(np.uint32) for c in block.counts(np.array(rows["train"].to_pylist(), bool)))
         out = []
         for p in range(parts):
             (a, b), (c, d) = block.cuts[p : p + 2], block.word_cuts[p : p + 2]
             if a < b or c < d:
-                out.append((rows["block"][0].as_py(), p, *pack_pairs(block.keys[a:b]), pack(pairs[a:b]), pack(steps(block.words[c:d])), pack(words[c:d])))
+                out.append((number, p, *pack_pairs(block.keys[a:b]), pack(pairs[a:b]), pack(steps(block.words[c:d])), pack(words[c:d])))
         kinds = (pa.int32(), pa.int32(), *[pa.binary()] * 5)
         return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["block", "part", "contexts", "numbers", "counts", "words", "word_counts"])
 
@@ -716,11 +748,12 @@ def score_documents(docs: DataFrame, trainable: Column, common: int = 1 << 17, b
     code, total, distinct, size = fit(rows, partitions_for(docs), common)
     release(spark)
     blocks = max(partitions_for(docs), -(-size // block_bytes))
-    parts = max(partitions_for(docs), -(-size // (2 * block_bytes)))
+    parts = blocks
     model = spark.sparkContext.broadcast(code)
     whole = math.log10(total + distinct + 1)
 
-    def run(rows: pa.Table, replies: pa.Table) -> pa.Table:
+    def run(group: pa.Table, replies: pa.Table) -> pa.Table:
+        rows = _dealt(group)
         order = np.argsort(replies["part"].to_numpy())
         told = [np.concatenate([unpack(raw, kind) for raw in replies[c].take(pa.array(order)).to_pylist()]) for c, kind in (("seen", np.uint8), ("depth", np.uint8), ("odds", np.int8), ("totals", np.int64))]
         texts = Texts(rows["text"].to_pylist())
@@ -730,7 +763,7 @@ def score_documents(docs: DataFrame, trainable: Column, common: int = 1 << 17, b
         return pa.table({"doc_id": rows["doc_id"], "n_bytes": texts.n_bytes, "n_tokens": n, "n_known": n_known, "train_tokens": np.full(len(n), total), "base_score": logs - n * whole, "score": scorer.scores()})
 
     # Both uses of the dealt rows have one plan, so that they are shuffled once.
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int"))
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int")).mapInArrow(_deal, "block int, rows binary")
     asked = dealt.groupBy("block").applyInArrow(_ask(model, parts), "block int, part int, contexts binary, numbers binary, counts binary, words binary, word_counts binary")
     told = asked.groupBy("part").applyInArrow(_answer(model), "block int, part int, seen binary, depth binary, odds binary, totals binary")
     return dealt.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(run, "doc_id long, n_bytes long, n_tokens long, n_known long, train_tokens long, base_score double, score double")
