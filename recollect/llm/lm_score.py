@@ -52,7 +52,7 @@ FINE = 6.0
 #: Counts that the first predictor's probability stands for, beside a context of one word and of two.
 PRIOR = (3.0, 0.5)
 #: Counts that make a context of one word, and of two, worth hearing; where a node has fewer, the first predictor's stand.
-ENOUGH = (4, 1)
+ENOUGH = (6, 1)
 #: No decision is held more certain than these log-odds; buckets of a half each.
 #: Mixer and map learn after so many tokens, from a text's beginning to its end.
 WINDOW = 16
@@ -741,7 +741,7 @@ def _answer(model):
     return run
 
 
-def score_documents(docs: DataFrame, trainable: Column, common: int = 1 << 17, block_bytes: int = 12_000_000) -> DataFrame:
+def score_documents(docs: DataFrame, trainable: Column, common: int = 1 << 17, block_bytes: int = 10_000_000) -> DataFrame:
     """doc_id, text bytes, n_tokens, n_known, train_tokens, base_score and score (both log10) of each row."""
     spark = docs.sparkSession
     rows = docs.select("doc_id", "text", F.coalesce(trainable, F.lit(False)).alias("train"))
