@@ -1,7 +1,7 @@
 """Near-duplicate documents by an exact Jaccard join on word shingles, with rare-first prefix filtering.
 
-1. Each document becomes the set of 64-bit hashes of its shingles. Documents of one set (by a 128-bit digest) are one
-   vertex, named by their smallest id. Shingle frequencies over the whole corpus go into a sketch of fixed size (one
+1. Each document becomes the set of 64-bit hashes of its shingles. Documents of one set (by a hash of 64 bits) are one
+   vertex. Shingle frequencies over the whole corpus go into a sketch of fixed size (one
    count for each hash bucket), which orders shingles from rare to common; ties are ordered by hash. Any order gives the
    same result; this one keeps passages that many documents share out of the prefixes.
 2. Two sets that reach the threshold share a shingle within their prefixes, the first n - ceil(t n) + 1 shingles in that
@@ -10,10 +10,12 @@
    of the sets by hash range bound their difference from below). Each pair left is verified once, on the whole sets.
    Shingles of more sets give no pairs: their sets, in chunks, meet within tasks, which count all overlaps by matrix
    products and return a spanning forest of the links only.
-4. Links are contracted to components.
+4. Links are contracted to components, each named by the smallest document of its sets.
+
+Shuffle files and tables of a step are let go before the next one, so that disks hold one step's at a time.
 
 Rows: null texts and texts without words have an empty set and link with nothing; nor do rows with a null id, whose
-component is null. Repeated ids and texts are allowed: rows of one id share the smallest component. Words are split at
+component is null. Repeated ids and texts are allowed: each row has the component of its own text. Words are split at
 ASCII white space only and A-Z are lower-cased. An empty table gives an empty result; other columns are ignored.
 """
 
@@ -28,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, checkpoint
+from .common import batches, checkpoint, release
 from .graph import components
 
 SKETCH_BITS, SKETCH_BLOCKS = 20, 64
@@ -66,12 +68,9 @@ class Shingler:
         return np.unique(mixed ^ (mixed >> np.uint64(32)))
 
 
-def _digest(shingles: np.ndarray) -> bytes:
-    return xxhash.xxh3_128_digest(shingles.tobytes())
-
-
-def _vertex(digest: bytes) -> int:
-    return int.from_bytes(digest[:8], "little", signed=True)
+def _vertex(shingles: np.ndarray) -> int:
+    """A number of 64 bits for a set; sets of one number are one vertex."""
+    return int.from_bytes(xxhash.xxh3_64_digest(shingles.tobytes()), "little", signed=True)
 
 
 def _bucket(shingles: np.ndarray) -> np.ndarray:
@@ -83,25 +82,30 @@ def _read(words: int):
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of, sketch = Shingler(words), np.zeros(1 << SKETCH_BITS, np.int32)
-        names = ["doc_id", "n", "digest", "ranges", "block", "counts"]
+        names = ["doc_id", "n", "v", "ranges", "block", "counts"]
         for keys, texts in batches(parts, "doc_id", "text"):
-            counts, digests, ranges = [], [], []
+            counts, vertices, ranges = [], [], []
             for text in texts:
                 s = of(text)
                 counts.append(len(s))
-                digests.append(_digest(s) if len(s) else None)
-                ranges.append(np.bincount((s >> np.uint64(60)).astype(np.int64), minlength=RANGES).astype(np.int32))
+                vertices.append(_vertex(s) if len(s) else None)
+                ranges.append(_ranges(s))
                 np.add.at(sketch, _bucket(s), 1)
             n = len(keys)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(counts, pa.int64()), pa.array(digests, pa.binary()), pa.array(ranges, pa.list_(pa.int32())), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(counts, pa.int64()), pa.array(vertices, pa.int64()), pa.array(ranges, pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=names)
         if sketch.any():
             blocks = [zlib.compress(b.tobytes(), 1) for b in sketch.reshape(SKETCH_BLOCKS, -1)]
             n = len(blocks)
-            yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.list_(pa.int32())), pa.array(range(n), pa.int32()), pa.array(blocks, pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pa.array(range(n), pa.int32()), pa.array(blocks, pa.binary())], names=names)
 
     return run
 
 
+def _ranges(shingles: np.ndarray) -> bytes:
+    """How many shingles fall into each sixteenth of the hash range, as 32-bit integers."""
+    return np.bincount((shingles >> np.uint64(60)).astype(np.int64), minlength=RANGES).astype("<i4").tobytes()
+
+
 def _add_blocks(batch_iterator: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Adds up the sketch blocks of one partition, one by one."""
     total: dict[int, np.ndarray] = {}
@@ -122,14 +126,14 @@ def _prefixes(words: int, num: int, den: int, packed: bytes):
             tokens, vertices, sizes, places = [], [], [], []
             for text in texts:
                 s = of(text)
-                if not len(s) or (d := _digest(s)) in had:
+                if not len(s) or (v := _vertex(s)) in had:
                     continue
-                had.add(d)
+                had.add(v)
                 n = len(s)
                 p = n + (-n * num) // den + 1
                 order = np.lexsort((s, sketch[_bucket(s)]))[:p]
                 tokens.append(s[order].view(np.int64))
-                vertices.append(np.full(p, _vertex(d)))
+                vertices.append(np.full(p, v))
                 sizes.append(np.full(p, n, np.int32))
                 places.append(np.arange(p, dtype=np.int32))
             if tokens:
@@ -138,16 +142,30 @@ def _prefixes(words: int, num: int, den: int, packed: bytes):
     return run
 
 
+def _suffix_filter(num: int, den: int):
+    """Pairs whose sets may reach the threshold: what their sizes by hash range differ in, no overlap can make good."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in parts:
+            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), "<i4").reshape(-1, RANGES).astype(np.int64) for i in (2, 3))
+            both = x.sum(1) + y.sum(1)
+            need = -(-num * both // (num + den))
+            keep = np.abs(x - y).sum(1) <= both - 2 * need
+            yield batch.select([0, 1]).filter(pa.array(keep))
+
+    return run
+
+
 def _sets(words: int):
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = Shingler(words)
-        for ids, digests, texts in batches(parts, "rep", "digest", "text"):
-            found = [(i, s) for i, d, t in zip(ids, digests, texts, strict=True) if len(s := of(t)) and _digest(s) == d]
+        for vertices, texts in batches(parts, "v", "text"):
+            found = [(v, s) for v, t in zip(vertices, texts, strict=True) if len(s := of(t)) and _vertex(s) == v]
             for lo in range(0, len(found), 256):
                 some = found[lo : lo + 256]
                 offsets = np.concatenate([[0], np.cumsum([len(s) for _, s in some])]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([s for _, s in some]).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in some], pa.int64()), lists], names=["rep", "set"])
+                yield pa.RecordBatch.from_arrays([pa.array([v for v, _ in some], pa.int64()), lists], names=["v", "set"])
 
     return run
 
@@ -173,7 +191,7 @@ def _meet(num: int, den: int):
 
     def run(group: pa.Table) -> pa.Table:
         group = group.combine_chunks()
-        ids, chunk = group["rep"].to_numpy(), group["chunk"].to_numpy()
+        ids, chunk = group["v"].to_numpy(), group["chunk"].to_numpy()
         lists = group["set"].combine_chunks()
         sizes = np.diff(lists.offsets.to_numpy())
         values, column, times = np.unique(lists.flatten().to_numpy(), return_inverse=True, return_counts=True)
@@ -210,57 +228,64 @@ def _meet(num: int, den: int):
 
 def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, common: int = 64, chunk: int = 512) -> DataFrame:
     """doc_id, n_shingles and component_id of each row; two sets link if den * intersection >= num * union."""
+    spark = docs.sparkSession
     rows = docs.select("doc_id", "text")
-    read = checkpoint(rows.mapInArrow(_read(words), "doc_id long, n long, digest binary, ranges array<int>, block int, counts binary"))
+    read = checkpoint(rows.mapInArrow(_read(words), "doc_id long, n long, v long, ranges binary, block int, counts binary"))
     told = read.filter("block IS NULL")
     blocks = read.filter("block IS NOT NULL").select("block", "counts").repartition(SKETCH_BLOCKS, "block").mapInArrow(_add_blocks, "block int, counts binary")
     sketch = np.zeros((SKETCH_BLOCKS, (1 << SKETCH_BITS) // SKETCH_BLOCKS), np.int64)
     for r in blocks.collect():  # of fixed size
         sketch[r["block"]] = np.frombuffer(zlib.decompress(r["counts"]), np.int64)
     packed = zlib.compress(sketch.tobytes(), 1)
-
-    reps = checkpoint(told.filter("n > 0 AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("ranges").alias("ranges")))
-    by_vertex = reps.select(_vertex_column("digest").alias("v"), "rep", "ranges")
+    # A vertex for each set, and a document that has it.
+    sets_of = checkpoint(told.filter("n > 0 AND doc_id IS NOT NULL").groupBy("v").agg(F.min("doc_id").alias("rep"), F.first("ranges").alias("ranges")))
     # Neither is ever null; said here, both uses of the table have one plan, so that it is made and shuffled once.
     found = rows.filter("doc_id IS NOT NULL").select("text").mapInArrow(_prefixes(words, num, den, packed), "token long, v long, n int, pos int").filter("token IS NOT NULL AND v IS NOT NULL").repartition("token").dropDuplicates(["token", "v", "n", "pos"])
-    counts = found.groupBy("token").agg(F.count(F.lit(1)).alias("cnt")).filter("cnt > 1")
-    alive = checkpoint(found.join(counts, "token").join(by_vertex, "v").select("token", "cnt", "rep", "n", "pos", "ranges"))
+    alive = checkpoint(found.join(found.groupBy("token").agg(F.count(F.lit(1)).alias("cnt")).filter("cnt > 1"), "token"))
+    del found, blocks
+    release(spark)
 
     rare = alive.filter(F.col("cnt") <= common)
-    a = rare.select("token", *(F.col(c).alias(f"{c}_a") for c in ("rep", "n", "pos", "ranges")))
-    b = rare.select("token", *(F.col(c).alias(f"{c}_b") for c in ("rep", "n", "pos", "ranges")))
+    a, b = (rare.select("token", *(F.col(c).alias(f"{c}_{side}") for c in ("v", "n", "pos"))) for side in "ab")
     need = f"cast(ceil({num} * (n_a + n_b) / {num + den}) AS int)"
     pairs = (
         a.join(b, "token")
-        .filter("rep_a < rep_b")
+        .filter("v_a < v_b")
         .filter(f"{den} * least(n_a, n_b) >= {num} * greatest(n_a, n_b)")
         .filter(f"1 + least(n_a - pos_a - 1, n_b - pos_b - 1) >= {need}")
-        .filter(f"aggregate(zip_with(ranges_a, ranges_b, (x, y) -> abs(x - y)), 0, (s, x) -> s + x) <= n_a + n_b - 2 * {need}")
-        .select("rep_a", "rep_b")
+        .select("v_a", "v_b")
         .distinct()
     )
-    pairs = checkpoint(pairs)
-    hot = alive.filter(F.col("cnt") > common).select("token", "rep", "cnt")
-    needed = pairs.select(F.col("rep_a").alias("rep")).unionByName(pairs.select(F.col("rep_b").alias("rep"))).unionByName(hot.select("rep")).distinct()
-    wanted = needed.join(reps.select("rep", "digest"), "rep")
-    sets = checkpoint(rows.withColumnRenamed("doc_id", "rep").join(wanted, "rep").select("rep", "digest", "text").mapInArrow(_sets(words), "rep long, set array<long>").dropDuplicates(["rep"]))
-
-    with_a = pairs.join(sets.select(F.col("rep").alias("rep_a"), F.col("set").alias("set_a")), "rep_a")
-    with_b = with_a.join(sets.select(F.col("rep").alias("rep_b"), F.col("set").alias("set_b")), "rep_b")
-    links = with_b.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"), "set_a", "set_b").mapInArrow(_verify(num, den), "a long, b long")
+    for side in "ab":
+        pairs = pairs.join(sets_of.select(F.col("v").alias(f"v_{side}"), F.col("ranges").alias(f"ranges_{side}")), f"v_{side}")
+    pairs = checkpoint(pairs.select("v_a", "v_b", "ranges_a", "ranges_b").mapInArrow(_suffix_filter(num, den), "v_a long, v_b long"))
+    hot = checkpoint(alive.filter(F.col("cnt") > common).select("token", "v", "cnt"))
+    del alive, rare, a, b
+    release(spark)
+
+    needed = pairs.select(F.col("v_a").alias("v")).unionByName(pairs.select(F.col("v_b").alias("v"))).unionByName(hot.select("v")).distinct()
+    wanted = needed.join(sets_of.select("v", "rep"), "v").withColumnRenamed("rep", "doc_id")
+    sets = checkpoint(rows.join(wanted, "doc_id").select("v", "text").mapInArrow(_sets(words), "v long, set array<long>").dropDuplicates(["v"]))
+    del needed, wanted
+    release(spark)
+
+    with_sets = pairs
+    for side in "ab":
+        with_sets = with_sets.join(sets.select(F.col("v").alias(f"v_{side}"), F.col("set").alias(f"set_{side}")), f"v_{side}")
+    links = checkpoint(with_sets.select(F.col("v_a").alias("a"), F.col("v_b").alias("b"), "set_a", "set_b").mapInArrow(_verify(num, den), "a long, b long"))
+    del with_sets, pairs
+    release(spark)
     # Each pair of chunks of a common shingle's sets is one task.
-    parts = hot.withColumn("parts", F.ceil(F.col("cnt") / chunk).cast("int")).withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
-    dealt = parts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("token", "rep", "chunk", F.least("chunk", "other").alias("s"), F.greatest("chunk", "other").alias("t"))
-    meeting = dealt.join(sets, "rep").groupBy("token", "s", "t").applyInArrow(_meet(num, den), "a long, b long")
-    classes = components(links.unionByName(meeting))
-
-    named = told.join(reps.select("digest", "rep"), "digest", "left").join(classes.withColumnRenamed("v", "rep"), "rep", "left")
-    return named.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id")).alias("component_id"))
-
-
-def _vertex_column(column: str):
-    """The first eight bytes of a digest as a signed little-endian integer."""
-    swapped = F.concat(*(F.substring(F.hex(column), i, 2) for i in range(15, 0, -2)))
-    top = F.conv(F.substring(swapped, 1, 8), 16, 10).cast("long")
-    low = F.conv(F.substring(swapped, 9, 8), 16, 10).cast("long")
-    return F.when(top >= 2**31, top - 2**32).otherwise(top) * F.lit(2**32) + low
+    parts = hot.withColumn("parts", F.ceil(F.col("cnt") / chunk).cast("int")).withColumn("chunk", F.pmod(F.xxhash64("v"), F.col("parts")).cast("int"))
+    dealt = parts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("token", "v", "chunk", F.least("chunk", "other").alias("s"), F.greatest("chunk", "other").alias("t"))
+    meeting = checkpoint(dealt.join(sets, "v").groupBy("token", "s", "t").applyInArrow(_meet(num, den), "a long, b long"))
+    del parts, dealt, sets, hot
+    release(spark)
+
+    joined = components(links.unionByName(meeting))
+    # A class is named by the smallest document of its sets.
+    member = sets_of.select("v", "rep").join(joined, "v")
+    named = member.join(member.groupBy("component").agg(F.min("rep").alias("class")), "component").select("v", "class")
+    classes = sets_of.select("v", "rep").join(named, "v", "left").select("v", F.coalesce("class", "rep").alias("class"))
+    out = told.join(classes, "v", "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("class", "doc_id")).alias("component_id"))
