@@ -378,3 +378,33 @@ def test_pipeline_and_empty_tables(spark):
         before = kept
     lengths, _ = check_packing(pipeline.run(spark, folder).collect(), 2048)
     assert set(lengths) == before
+
+
+def test_pipeline_decides_by_row(spark):
+    """Rows of one id with unlike texts, rows without an id, repeated rows and columns of any name."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    rng = random.Random(12)
+    words = [f"w{i}" for i in range(400)]
+    texts = [" ".join(rng.choices(words, k=80)) for _ in range(6)]
+    near = texts[0].replace(texts[0].split()[40], "other", 1)
+    rows = [(1, texts[0], 1), (1, texts[1], 2), (1, texts[1], 2), (None, texts[2], 3), (None, texts[2], 3), (5, texts[3], 4), (7, near, 5), (3, texts[3] + " end", 6), (8, None, 7), (9, None, 8), (None, "", 9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _nth int").selectExpr("*", "'en' AS lang", "1 AS _key", "2 AS ok")
+    found = pipeline.drop_near_duplicates(spark, df, "")
+    assert found.columns == df.columns
+    assert sorted((r["doc_id"] or 0, r["text"] or "") for r in found.collect()) == sorted([(1, texts[0]), (1, texts[1]), (0, texts[2]), (3, texts[3] + " end"), (8, ""), (9, ""), (0, "")])
+    for stage in (pipeline.identify_language, pipeline.apply_quality_rules):
+        assert stage(spark, df, "").columns == df.columns
+    assert {r["text"] for r in pipeline.identify_language(spark, df, "").collect()} == {*texts[:4], near, texts[3] + " end"}
+    assert {r["text"] for r in pipeline.identify_language(spark, df.drop("lang").selectExpr("*", "cast(null AS string) AS lang"), "").collect()} >= set(texts[:4])
+
+
+def test_language_left_out(spark):
+    """Texts in a language that was not learned are claimed by no machine, as a rule; those of learned languages are."""
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").filter("lang IS NOT NULL AND size(split(text, ' ')) >= 50")
+    model = language_id.fit(docs, (F.col("lang") != "fr") & (F.col("doc_id") % 2 == 0))
+    found = language_id.predict(docs, model).join(docs.select("doc_id", "lang"), "doc_id")
+    share = {r["other"]: r["share"] for r in found.filter("doc_id % 2 = 1 OR lang = 'fr'").groupBy((F.col("lang") == "fr").alias("other")).agg(F.avg((F.col("score") >= 0.5).cast("int")).alias("share")).collect()}
+    assert share[False] > 0.99
+    assert share[True] < 0.1
