@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import is_blank, trimmed
+from .text import est_tokens, is_blank, trimmed
 
 # Patterns and markers.
 GLOBAL_PATTERNS = "how many|how much|every|all of|list all|count|total|sum of|summarize|overall|across all|each "
@@ -51,9 +51,35 @@ def is_blind(query: Column) -> Column:
     return ~is_blank(query) & ~query.rlike("[A-Za-z]")
 
 
-def strategy(mode: Column, has_calls: Column, has_results: Column) -> Column:
+def strategy(mode: Column, has_tools: Column, has_calls: Column, has_results: Column) -> Column:
+    """A forced mode, or else compaction where the request or its messages have to do with tools."""
     told = F.lower(trimmed(mode))
-    return F.when(told.isin("compaction", "extraction"), told).when(has_calls | has_results, "compaction").otherwise("extraction")
+    return F.when(told.isin("compaction", "extraction"), told).when(has_tools | has_calls | has_results, "compaction").otherwise("extraction")
+
+
+def named(value: Column, names: list[str], otherwise: str | None) -> Column:
+    """The name among these that the value is, in any case and with white space around it; or else the default."""
+    told = F.lower(trimmed(value))
+    return F.when(told.isin(names), told).otherwise(F.lit(otherwise))
+
+
+def repair(value: Column) -> Column:
+    """How messages are to be repaired; what is not known is tried as it is."""
+    return named(value, ["off", "convert", "hoist", "merge-user0"], "verbatim")
+
+
+def trace_level(value: Column) -> Column:
+    told = F.lower(trimmed(value))
+    return F.when(told.isin("full", "verbose"), "full").when(told.isin("summary", "on", "1", "true", "yes"), "summary").otherwise("off")
+
+
+def offers_tools(turn: Column, turns: int, must_answer: bool) -> Column:
+    """Whether tools are offered in this turn, from 0; not in the last one if that must answer."""
+    return ~((turn + 1 >= max(1, turns)) & F.lit(must_answer))
+
+
+def notes_too_long(notes: Column, n_ctx: int, max_tokens: int) -> Column:
+    return est_tokens(notes) > max(512, n_ctx - max_tokens)
 
 
 def looks_incomplete(answer: Column) -> Column:

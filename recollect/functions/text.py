@@ -10,7 +10,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType
+from pyspark.sql.types import ArrayType, BinaryType, FloatType, StringType
 
 # Ranges whose characters count as a token each.
 WIDE = r"[\x{3000}-\x{30FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{AC00}-\x{D7AF}\x{F900}-\x{FAFF}\x{FF00}-\x{FFEF}]"
@@ -90,22 +90,97 @@ def compound_tokens(text: Column | str) -> Column:
     return F.array_remove(F.array_distinct(F.flatten(split)), "")
 
 
+def code_tokens(text: Column | str) -> Column:
+    """Units as wholes, their parts between . / - _ and the parts' words by capitals, ASCII letters lowered, each once in order."""
+    units = F.regexp_extract_all(_c(text), F.lit(r"[\p{IsAlphabetic}\p{N}_./-]+"), F.lit(0))
+    words = "(?<=[a-z])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])"
+
+    def of(unit: Column) -> Column:
+        parts = F.array_remove(F.split(unit, r"[./_-]"), "")
+        return F.concat(F.array(unit), F.flatten(F.transform(parts, lambda p: F.concat(F.array(p), F.split(p, words)))))
+
+    return F.array_distinct(F.transform(F.flatten(F.transform(units, of)), ascii_lower))
+
+
 @F.pandas_udf(ArrayType(StringType()))
 def folded_tokens(text: pd.Series) -> pd.Series:
     """Runs of letters and digits, lowered and without marks. Folding needs a decomposition that Spark lacks: Arrow."""
+    import re
+
     import regex
 
-    find = regex.compile(r"[\p{L}\p{N}\p{Co}\p{Mn}]+").findall
+    plain = re.compile("[a-z0-9]+").findall
+    find = regex.compile(r"[\p{L}\p{N}\p{Co}]+").findall
+    unmarked = regex.compile(r"\p{Mn}+").sub
 
     def of(t: str | None) -> list[str] | None:
         if t is None:
             return None
-        plain = "".join(c for c in unicodedata.normalize("NFD", t) if unicodedata.category(c) != "Mn")
-        return find(plain.lower())
+        if t.isascii():
+            return plain(t.lower())
+        return find(unmarked("", unicodedata.normalize("NFD", t)).lower())
 
     return text.map(of)
 
 
+@F.pandas_udf(ArrayType(StringType()))
+def replay_pieces(text: pd.Series, cap: pd.Series) -> pd.Series:
+    """The text in pieces of at most so many characters, cut after white space where that is possible; joined, they give the text.
+
+    A walk over runs that end in white space; a run longer than the cap is cut hard, and its last part stays alone.
+    """
+    import re
+
+    blank = BLANKS.replace("\\x{", "\\u{")
+    inner = "".join(chr(c) for a, b in _ranges(blank) for c in range(a, b + 1))
+    runs = re.compile(f"[^{re.escape(inner)}]*[{re.escape(inner)}]|[^{re.escape(inner)}]+").findall
+
+    def of(t: str | None, limit: int) -> list[str] | None:
+        if t is None:
+            return None
+        limit, out, now, size = max(1, limit), [], [], 0
+        for run in runs(t):
+            if now and size + len(run) > limit:
+                out.append("".join(now))
+                now, size = [], 0
+            if len(run) > limit:
+                out += [run[k : k + limit] for k in range(0, len(run), limit)]
+            else:
+                now.append(run)
+                size += len(run)
+        return [*out, "".join(now)] if now else out
+
+    return pd.Series([of(t, n) for t, n in zip(text, cap, strict=True)])
+
+
+def _ranges(pattern: str) -> list[tuple[int, int]]:
+    """The ranges of a character class written with hexadecimal numbers in braces."""
+    import re
+
+    found = re.findall(r"\{([0-9A-F]+)\}(-?)", pattern)
+    out, k = [], 0
+    while k < len(found):
+        last = k + 1 if found[k][1] else k
+        out.append((int(found[k][0], 16), int(found[last][0], 16)))
+        k = last + 1
+    return out
+
+
+def lines_of(text: Column | str) -> Column:
+    """Lines without their ends; a line feed at the end of the text begins no line."""
+    t = _c(text)
+    lines = F.transform(F.split(F.regexp_replace(t, r"\n$", ""), "\n", -1), lambda x: F.regexp_replace(x, r"\r$", ""))
+    return F.when(t == "", F.array().cast("array<string>")).otherwise(lines)
+
+
+def truncate_to_bytes(text: Column | str, size: int) -> Column:
+    """The longest beginning of so many bytes at most that ends between characters."""
+    t = _c(text)
+    cut = F.hex(F.substring(F.encode(t, "UTF-8"), 1, size))
+    whole = F.regexp_replace(cut, "(?:[CDEF][0-9A-F]|E[0-9A-F][89AB][0-9A-F]|F[0-9A-F](?:[89AB][0-9A-F]){1,2})$", "")
+    return F.when(F.octet_length(t) <= size, t).otherwise(F.decode(F.unhex(whole), "UTF-8"))
+
+
 def is_usable(token: Column | str) -> Column:
     t = _c(token)
     return (F.octet_length(t) >= 2) & ~t.isin(STOPWORDS)
@@ -130,8 +205,24 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when((F.size(a) != F.size(b)) | (norms == 0), 0.0).otherwise(dot(a, b) / norms)
 
 
-def fence(label: str, rule: str, body: Column | str) -> Column:
+def fence(label: str, rule: str, body: Column | str, mark: str = "quoted") -> Column:
     """The body between marks that carry its hash, so that a quoted mark cannot close the fence."""
     b = _c(body)
     tag = F.substring(content_hash(b), 9, 8)
-    return F.concat(F.lit(f"[{label}] {rule}\n<<<xzo:notes:"), tag, F.lit(">>>\n"), b, F.lit("\n<<<xzo:end:"), tag, F.lit(">>>\n"))
+    return F.concat(F.lit(f"[{label}] {rule}\n<<<{mark}:notes:"), tag, F.lit(">>>\n"), b, F.lit(f"\n<<<{mark}:end:"), tag, F.lit(">>>\n"))
+
+
+@F.pandas_udf(BinaryType())
+def vector_bytes(vector: pd.Series) -> pd.Series:
+    """32-bit floats as little-endian bytes."""
+    import numpy as np
+
+    return vector.map(lambda v: None if v is None else np.asarray(v, "<f4").tobytes())
+
+
+@F.pandas_udf(ArrayType(FloatType()))
+def bytes_vector(raw: pd.Series) -> pd.Series:
+    """The floats of such bytes; what is left over at the end is no float."""
+    import numpy as np
+
+    return raw.map(lambda b: None if b is None else np.frombuffer(b[: len(b) // 4 * 4], "<f4"))

@@ -6,10 +6,13 @@ defined order. Other columns are left alone where rows are returned whole.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import est_tokens, is_blank
+from ..functions.text import est_tokens, is_blank, trimmed
 
 
 def by_turn():
@@ -37,12 +40,54 @@ def extraction_middle(messages: DataFrame) -> DataFrame:
     return rows.filter(F.col("_last").isNull() | (F.col("turn") != F.col("_last"))).drop("_last")
 
 
+def counted(text: Column) -> Column:
+    """Tokens of a text; a blank one has none."""
+    return F.when(is_blank(text), 0).otherwise(est_tokens(text))
+
+
+def prompt_tokens(messages: DataFrame, tools: DataFrame | None = None) -> DataFrame:
+    """conv_id, n_messages, prompt_tokens: texts, tool calls (a JSON string in tool_calls, if there is that column) and
+    the tools offered (conv_id, tools), with what a template adds."""
+    said = F.coalesce("text", F.lit(""))
+    if "tool_calls" in messages.columns:
+        said = F.concat(said, F.coalesce(F.concat(F.lit("\n"), F.col("tool_calls")), F.lit("")))
+    sums = messages.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n_messages"), F.sum(counted(said)).alias("_said"))
+    offered = F.lit(0)
+    if tools is not None:
+        sums = sums.join(tools.select("conv_id", counted(F.col("tools")).alias("_offered")), "conv_id", "left")
+        offered = F.coalesce("_offered", F.lit(0))
+    return sums.select("conv_id", "n_messages", (128 + 4 * F.col("n_messages") + F.col("_said") + offered).alias("prompt_tokens"))
+
+
 def gates(messages: DataFrame, n_ctx: int, trigger: float = 1.0, warm: float = 0.25) -> DataFrame:
     """Token sums of each conversation, and whether it is over the window or is to be warmed up."""
-    t = est_tokens("text")
-    sums = messages.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n_messages"), F.sum(t).alias("total"), F.sum(F.when(is_blank("text"), 0).otherwise(est_tokens(F.concat("text", F.lit("\n"))))).alias("_counted"))
+    sums = messages.groupBy("conv_id").agg(F.sum(est_tokens("text")).alias("total")).join(prompt_tokens(messages), "conv_id")
     over = F.col("total") > n_ctx * trigger
-    return sums.select("conv_id", "n_messages", "total", (128 + 4 * F.col("n_messages") + F.col("_counted")).alias("prompt_tokens"), over.alias("over"), (~over & (F.col("total") > warm * n_ctx)).alias("warm"))
+    return sums.select("conv_id", "n_messages", "total", "prompt_tokens", over.alias("over"), (~over & (F.col("total") > warm * n_ctx)).alias("warm"))
+
+
+def markers(messages: DataFrame) -> DataFrame:
+    """conv_id, has_calls, has_results: whether any message (role, tool_calls as a JSON string) calls a tool or is its result."""
+    calls = F.col("tool_calls").isNotNull() & ~trimmed("tool_calls").isin("", "null", "[]")
+    return messages.groupBy("conv_id").agg(F.max(calls).alias("has_calls"), F.max(F.col("role") == "tool").alias("has_results"))
+
+
+def fits_strict_template(messages: DataFrame) -> DataFrame:
+    """conv_id, fits: whether a system message is only first, and no two messages in a row have one role; order is `pos`."""
+    at = Window.partitionBy("conv_id").orderBy("pos")
+    rows = messages.select("conv_id", "role", F.row_number().over(at).alias("nth"), F.lag("role").over(at).alias("before"))
+    wrong = ((F.col("role") == "system") & (F.col("nth") > 1)) | F.coalesce(F.col("role") == F.col("before"), F.lit(False))
+    return rows.groupBy("conv_id").agg((~F.max(wrong)).alias("fits"))
+
+
+def repair_ladder(messages: DataFrame, fits: Callable[[DataFrame], DataFrame] = fits_strict_template) -> DataFrame:
+    """conv_id, repair, fits: the first of verbatim, convert, hoist and merge-user0 whose messages (conv_id, pos, role, text) fit;
+    verbatim where none does."""
+    plain = messages.select("conv_id", F.col("turn").alias("pos"), "role", "text")
+    rungs = [("verbatim", plain), ("convert", convert_notes(messages).select("conv_id", F.col("turn").alias("pos"), "role", "text")), ("hoist", hoist(messages)), ("merge-user0", merge_into_user(messages))]
+    tried = reduce(DataFrame.unionByName, (fits(rows).select("conv_id", "fits", F.lit(k).alias("rung"), F.lit(name).alias("name")) for k, (name, rows) in enumerate(rungs)))
+    found = tried.groupBy("conv_id").agg(F.min(F.when(F.col("fits"), F.struct("rung", "name"))).alias("first"))
+    return found.select("conv_id", F.coalesce("first.name", F.lit("verbatim")).alias("repair"), F.col("first").isNotNull().alias("fits"))
 
 
 def _indexed(messages: DataFrame) -> DataFrame:

@@ -60,6 +60,8 @@ def _hash(x: str) -> str:
 STOP = ", ".join(f"'{w}'" for w in T.STOPWORDS)
 WORDS = r"regexp_extract_all(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\p{{L}}\p{{N}}_]+')"
 COMPOUND = r"list_filter(list_distinct(flatten(list_transform(list_transform(regexp_extract_all({}, '[\p{{L}}\p{{N}}_./-]+'), lambda u: lower(regexp_replace(u, '^[_./-]+|[_./-]+$', '', 'g'))), lambda u: list_concat([u], string_split_regex(u, '[_./-]+'))))), lambda x: x <> '')"
+#: The same with repeats, in the order of the text.
+EVERY = COMPOUND.replace("list_distinct(", "(", 1)
 FOLDED = r"list_transform(regexp_extract_all(strip_accents({}), '[\p{{L}}\p{{N}}]+'), lambda x: lower(x))"
 
 
@@ -87,7 +89,7 @@ def p4_extraction_middle(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(f"""
-WITH s AS (SELECT conv_id, count(*) AS n_messages, sum({_est("coalesce(text, '')")})::BIGINT AS total, sum(CASE WHEN coalesce({_trim('text')}, '') = '' THEN 0 ELSE {_est("(text || chr(10))")} END)::BIGINT AS c FROM conversations GROUP BY conv_id)
+WITH s AS (SELECT conv_id, count(*) AS n_messages, sum({_est("coalesce(text, '')")})::BIGINT AS total, sum(CASE WHEN coalesce({_trim('text')}, '') = '' THEN 0 ELSE {_est("text")} END)::BIGINT AS c FROM conversations GROUP BY conv_id)
 SELECT conv_id, n_messages, total, 128 + 4 * n_messages + c AS prompt_tokens, total > 600 AS over, NOT total > 600 AND total > 150 AS warm FROM s""")
 def p6_p7_a2_gates(spark: SparkSession, sf: str) -> DataFrame:
     return messages.gates(table(spark, sf, "conversations"), n_ctx=600)
@@ -181,15 +183,17 @@ def f2_f3_f24_text(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", T.est_tokens("text").alias("tokens"), F.md5(T.truncate_to_tokens("text", 64)).alias("cut_md5"), F.md5(T.preview("text")).alias("preview_md5"))
 
 
-@query(f"SELECT doc_id, md5(array_to_string({WORDS.format('text')}, ' ')) AS words_md5, len({COMPOUND.format('text')}) AS n_compound, md5(array_to_string(list_sort({COMPOUND.format('text')}), ' ')) AS compound_md5, md5(array_to_string({FOLDED.format('text')}, ' ')) AS folded_md5 FROM documents WHERE text IS NOT NULL")
+@query(f"""WITH d AS (SELECT doc_id, text, {EVERY.format('text')} AS x FROM documents WHERE text IS NOT NULL), e AS (SELECT doc_id, unnest(x) AS t, unnest(range(len(x))) AS i FROM d),
+f AS (SELECT doc_id, t, min(i) AS i FROM e GROUP BY ALL), c AS (SELECT doc_id, count(*) AS n, string_agg(t, ' ' ORDER BY i) AS t FROM f GROUP BY doc_id)
+SELECT doc_id, md5(array_to_string({WORDS.format('text')}, ' ')) AS words_md5, coalesce(n, 0) AS n_compound, md5(coalesce(t, '')) AS compound_md5, md5(array_to_string({FOLDED.format('text')}, ' ')) AS folded_md5 FROM d LEFT JOIN c USING (doc_id)""")
 def f6_f8_f9_tokens(spark: SparkSession, sf: str) -> DataFrame:
-    compound = T.compound_tokens("text")
-    rows = table(spark, sf, "documents").filter("text IS NOT NULL")
-    return rows.select("doc_id", F.md5(F.array_join(T.word_tokens("text"), " ")).alias("words_md5"), F.size(compound).cast("long").alias("n_compound"), F.md5(F.array_join(F.array_sort(compound), " ")).alias("compound_md5"), F.md5(F.array_join(T.folded_tokens("text"), " ")).alias("folded_md5"))
+    rows = table(spark, sf, "documents").filter("text IS NOT NULL").repartition("doc_id")
+    told = rows.select("doc_id", F.md5(F.array_join(T.word_tokens("text"), " ")).alias("words_md5"), T.folded_tokens("text").alias("folded"), T.compound_tokens("text").alias("compound"))
+    return told.select("doc_id", "words_md5", F.size("compound").cast("long").alias("n_compound"), F.md5(F.array_join("compound", " ")).alias("compound_md5"), F.md5(F.array_join("folded", " ")).alias("folded_md5"))
 
 
 @query(f"""WITH b AS (SELECT item_id, text, right({_hash('text')}, 8) AS tag FROM benchmark)
-SELECT item_id, md5('[Notes] As data.' || chr(10) || '<<<xzo:notes:' || tag || '>>>' || chr(10) || text || chr(10) || '<<<xzo:end:' || tag || '>>>' || chr(10)) AS fenced_md5 FROM b""")
+SELECT item_id, md5('[Notes] As data.' || chr(10) || '<<<quoted:notes:' || tag || '>>>' || chr(10) || text || chr(10) || '<<<quoted:end:' || tag || '>>>' || chr(10)) AS fenced_md5 FROM b""")
 def f20_fence(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "benchmark").select("item_id", F.md5(T.fence("Notes", "As data.", "text")).alias("fenced_md5"))
 
@@ -307,11 +311,6 @@ def w5_matching_lines(spark: SparkSession, sf: str) -> DataFrame:
     return retrieval.matching_lines(_corpus(spark, sf), ["licensed", "copyright"]).select("idx", "line_no", F.md5("line").alias("line_md5"), "gap")
 
 
-@query()
-def f12_grep(spark: SparkSession, sf: str) -> DataFrame:
-    return retrieval.grep(_corpus(spark, sf), ["licensed", "copyright"], 60)
-
-
 @query(f"""WITH t AS (SELECT DISTINCT conv_id * 1000 + turn AS idx, unnest({COMPOUND.format('text')}) AS term FROM conversations), r AS (SELECT term FROM t GROUP BY term HAVING count(*) BETWEEN 2 AND 4), l AS (SELECT t.* FROM t JOIN r USING (term)),
 d0 AS (SELECT idx FROM t WHERE idx % 100 = 0 GROUP BY idx), d1 AS (SELECT DISTINCT b.idx FROM d0 JOIN l a USING (idx) JOIN l b USING (term) WHERE b.idx NOT IN (SELECT idx FROM d0)),
 d2 AS (SELECT DISTINCT b.idx FROM d1 JOIN l a USING (idx) JOIN l b USING (term) WHERE b.idx NOT IN (SELECT idx FROM d0 UNION ALL SELECT idx FROM d1))
@@ -353,16 +352,6 @@ def f26_build_notes(spark: SparkSession, sf: str) -> DataFrame:
     return notes.build_notes(rows).select("group_id", F.md5("notes").alias("notes_md5"))
 
 
-RESULTS = [(1, 2, "a", "8080"), (1, 4, "b", "x"), (1, 6, "c", " "), (1, 8, None, "orphan")]
-CALLS = [(1, 1, "a", "read_file", '{"path":"x.toml","line":3}'), (1, 2, "a", "read_file", '{"path":"y.toml"}'), (1, 3, "b", None, ""), (1, 4, "c", "run", "ls -l")]
-
-
-@query("SELECT * FROM (VALUES (1::BIGINT, 2::BIGINT, '[read_file path=y.toml]' || chr(10) || '8080'), (1, 4, '[tool]' || chr(10) || 'x'), (1, 6, ' '), (1, 8, 'orphan')) t(conv_id, turn, stored)")
-def j1_f17_labels(spark: SparkSession, sf: str) -> DataFrame:
-    calls = spark.createDataFrame(CALLS, "conv_id long, seq long, id string, name string, arguments string")
-    return notes.label_results(spark.createDataFrame(RESULTS, "conv_id long, turn long, tool_call_id string, text string"), calls)
-
-
 @query("SELECT split_part(event_type, '.', 1) AS component, count(*) AS n FROM events GROUP BY ALL")
 def a9_counters(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "events").groupBy(F.split_part("event_type", F.lit("."), F.lit(1)).alias("component")).agg(F.count(F.lit(1)).alias("n"))
@@ -373,15 +362,12 @@ def x1_event_windows(spark: SparkSession, sf: str) -> DataFrame:
     return event_counts(table(spark, sf, "events"))
 
 
-@query()
-def a11_hashed_bag(spark: SparkSession, sf: str) -> DataFrame:
-    found = retrieval.hashed_bag(table(spark, sf, "documents"), T.word_tokens("text"), "doc_id")
-    return found.select("doc_id", "bucket", F.round("value", 6).alias("value"))
-
-
 @query()
 def flagship_notes(spark: SparkSession, sf: str) -> DataFrame:
     """Notes for each benchmark text: its best chunks by BM25, in a bounded block."""
     hits = retrieval.bm25(_corpus(spark, sf), _questions(spark, sf), 8)
     told = hits.join(_corpus(spark, sf), "idx").select(F.col("query_id").alias("group_id"), "rank", F.col("idx").cast("string").alias("positional_id"), T.truncate_to_tokens("raw", 60).alias("summary"), "score")
     return notes.seed_notes(told, 300)
+
+
+from . import catalog_more  # noqa: E402, F401  registers the rest
