@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import gc
-import os
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -12,25 +10,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import checkpoint, shared_dir  # noqa: F401
+
 #: A word: a run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see; a local one only where the cluster names none."""
-    told = spark.conf.get("spark.checkpoint.dir", None)
-    return told or os.path.join(tempfile.gettempdir(), "recollect-shared")
-
-
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cuts the lineage with a reliable checkpoint in the shared folder."""
-    spark = df.sparkSession
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint()
-
-
 def release(spark: SparkSession) -> None:
     """Lets Spark's cleaner remove the shuffle files and checkpoints that nothing refers to any more.
 
