@@ -13,7 +13,7 @@ def shared_dir(spark: SparkSession) -> str:
     told = spark.conf.get("spark.checkpoint.dir", None)
     if told:
         return told
-    if not spark.sparkContext.master.startswith("local["):
+    if spark.sparkContext.master.split("[")[0] != "local":
         raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors see")
     return os.path.join(tempfile.gettempdir(), "recollect-shared")
 
