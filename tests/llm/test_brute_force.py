@@ -207,6 +207,75 @@ def test_extraction(spark):
     assert found[1]["n_chars"] == len(text)
 
 
+BODY = "".join(f"<p>The {w} paragraph of the article says a good deal about rivers &amp; hills, in full.</p>" for w in ("first", "second", "third"))
+SAYS = "\n\n".join(f"The {w} paragraph of the article says a good deal about rivers & hills, in full." for w in ("first", "second", "third"))
+#: Pages, and their main text.
+PAGES = [
+    (f'<nav><a>Home</a></nav><div class="content has-sidebar">{BODY}</div><div class="sidebar"><p>Buy our things now, they are good.</p></div>', SAYS),
+    (f'<article class="post tag-legal">{BODY}</article><footer>Copyright 2020</footer>', SAYS),
+    (f'<div class="article"><div class="article-header"><h1>Rivers</h1></div>{BODY}</div>', "Rivers\n\n" + SAYS),
+    (f'<article>{BODY}<p class="more">This one is a full sentence too, as it says a lot of things.</p></article>', SAYS + "\n\nThis one is a full sentence too, as it says a lot of things."),
+    (f'<div data-x="not hidden ">{BODY}</div>', SAYS),
+    (f"<div>{BODY}</div><div hidden><p>Secret text that nobody is to see here, at all.</p></div>", SAYS),
+    (f'<div>{BODY}</div><div style="display: none"><p>Secret text that nobody is to see here, at all.</p></div>', SAYS),
+    (f"<select><option>one<option>two<div>{BODY}</div>", SAYS),
+    (f"<canvas><div>{BODY}</div>", SAYS),
+    (f"<title>Rivers<body><div>{BODY}</div>", SAYS),
+    (f"<div>{BODY}</div><script>var x = '<p>no text of the page, this is</p>'", SAYS),
+    ("<article><p>The sum <math><mi>x</mi>+<mi>y</mi></math> is positive, as one can see at once.</p></article>", "The sum x+y is positive, as one can see at once."),
+    (f'<article>{BODY}</article><div class="comments"><article class="comment"><p>I think that this is a very good article, thank you for it.</p></article></div>', SAYS),
+    (f'<div class="post">{BODY}</div><section id="post-comments"><p>I think that this is a very good article, thank you for it.</p></section>', SAYS),
+    (f'<div class="cookie-notice"><p>We use cookies to make this site better for you. Do you agree?</p></div><div id="main">{BODY}</div>', SAYS),
+    (f'<div class="ad-slot"><p>Buy our things now, they are good and cheap.</p></div><div class="entry-content">{BODY}<div class="share">Share this</div></div>', SAYS),
+    (f"<form><p>Enter your address here, and we write to you each week.</p></form>{BODY}", SAYS),
+    ("<div>" * 30_000 + BODY, SAYS),
+    ("<p>" + "word " * 300_000 + "end.</p>", ("word " * 300_000) + "end."),
+    ("<svg>" * 20_000 + "<title>x" * 20_000 + "</span>" * 20_000, ""),
+]
+
+
+def test_extraction_of_many_kinds(spark):
+    import time
+
+    df = spark.createDataFrame([(i, None, h) for i, (h, _) in enumerate(PAGES)], "page_id long, url string, html string")
+    start = time.time()
+    found = {r["page_id"]: r["text"] for r in extract_pages(df).collect()}
+    assert time.time() - start < 30
+    for i, (page, want) in enumerate(PAGES):
+        assert found[i] == want, page[:200]
+
+
+def test_extraction_weights_from_labels():
+    """Weights fitted to labelled blocks tell them apart where those that are set do not."""
+    from recollect.llm import html_extract
+
+    blocks, content = [], []
+    for k in range(30):
+        page = html_extract.read(f"<div><p>{'Buy this now. ' * (k + 5)}</p></div><article><p>Short {k}</p><p>no end {k}</p></article>")
+        blocks += page.blocks
+        content += [False, True, True]
+    weights = html_extract.fit(blocks, content, ridge=0.01)
+    assert [html_extract.score(b) > 0 for b in blocks] != content
+    assert [html_extract.score(b, weights) > 0 for b in blocks] == content
+
+
+def test_minimum_cut_against_all_labellings():
+    from itertools import product
+
+    from recollect.llm.html_extract import min_cut
+
+    rng = random.Random(6)
+    for _ in range(60):
+        n = rng.randrange(1, 9)
+        scores = [rng.randrange(-4000, 4000) / 1000 for _ in range(n)]
+        edges = [(a, b, rng.randrange(0, 2000) / 1000) for a in range(n) for b in range(a) if rng.random() < 0.5]
+
+        def cost(kept, scores=scores, edges=edges):
+            return sum(max(0, z) if not k else max(0, -z) for z, k in zip(scores, kept, strict=True)) + sum(w for a, b, w in edges if kept[a] != kept[b])
+
+        assert cost(min_cut(scores, edges)) == pytest.approx(min(map(cost, product([False, True], repeat=n))))
+
+
 def test_scoring_base(spark):
     import math
 
