@@ -88,7 +88,7 @@ def pack(found: DataFrame, capacity: int, shard_rows: int = 20_000) -> DataFrame
         bins, offsets = sum_of_squares(rows["length"].to_numpy(), capacity)
         return pd.DataFrame({"_row": rows["_row"], "sequence_id": rows["_shard"].to_numpy() * 2**40 + bins, "offset": offsets})
 
-    placed = partial.select("_row", "length", F.pmod(F.xxhash64("_row"), F.lit(shards)).alias("_shard")).groupBy("_shard").applyInPandas(run, "_row long, sequence_id long, offset long")
+    placed = partial.select("_row", "length", F.pmod(F.xxhash64("_row"), F.lit(shards)).alias("_shard")).repartition(shards, "_shard").groupBy("_shard").applyInPandas(run, "_row long, sequence_id long, offset long")
     short = numbered.join(placed, "_row")
     full = numbered.filter(F.col("length") >= capacity).withColumn("sequence_id", -1 - F.col("_row")).withColumn("offset", F.lit(0).cast("long"))
     return short.unionByName(full).drop("_row")
