@@ -9,7 +9,9 @@
 3. Shingles of up to `common` sets give pairs, passed through length filter, positional filter and suffix filter (sizes
    of the sets by hash range bound their difference from below). Each pair left is verified once, on the whole sets.
    Shingles of more sets give no pairs: their sets, in chunks, meet within tasks, which count all overlaps by matrix
-   products and return a spanning forest of the links only.
+   products and return a spanning forest of the links only. Sets first meet within chunks, which differ from shingle to
+   shingle; chunks of a shingle meet each other only if its sets are in several classes after that, so that the copies of
+   a template, who share many shingles, meet a few times each and not all of them for every shingle.
 4. Links are contracted to components, each named by the smallest document of its sets.
 
 Shuffle files and tables of a step are let go before the next one, so that disks hold one step's at a time.
@@ -275,14 +277,25 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
     links = checkpoint(with_sets.select(F.col("v_a").alias("a"), F.col("v_b").alias("b"), "set_a", "set_b").mapInArrow(_verify(num, den), "a long, b long"))
     del with_sets, pairs
     release(spark)
-    # Each pair of chunks of a common shingle's sets is one task.
-    parts = hot.withColumn("parts", F.ceil(F.col("cnt") / chunk).cast("int")).withColumn("chunk", F.pmod(F.xxhash64("v"), F.col("parts")).cast("int"))
-    dealt = parts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("token", "v", "chunk", F.least("chunk", "other").alias("s"), F.greatest("chunk", "other").alias("t"))
-    meeting = checkpoint(dealt.join(sets, "v").groupBy("token", "s", "t").applyInArrow(_meet(num, den), "a long, b long"))
-    del parts, dealt, sets, hot
+    # The sets of a common shingle meet in chunks, drawn anew for each shingle.
+    parts = hot.withColumn("parts", F.ceil(F.col("cnt") / chunk).cast("int")).withColumn("chunk", F.pmod(F.xxhash64("v", "token"), F.col("parts")).cast("int"))
+    within = parts.select("token", "v", "chunk", F.col("chunk").alias("s"), F.col("chunk").alias("t"))
+    meeting = checkpoint(within.join(sets, "v").groupBy("token", "s", "t").applyInArrow(_meet(num, den), "a long, b long"))
+    joined = components(links.unionByName(meeting))
+    many = checkpoint(parts.filter("parts > 1"))
+    if not many.isEmpty():
+        # Chunks of one shingle meet each other, a task for each pair of them, but only where its sets are not one class yet.
+        label = many.join(joined, "v", "left").withColumn("label", F.coalesce("component", "v"))
+        open_tokens = label.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("token")
+        left = many.join(open_tokens, "token")
+        dealt = left.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).filter("other <> chunk").select("token", "v", "chunk", F.least("chunk", "other").alias("s"), F.greatest("chunk", "other").alias("t"))
+        across = checkpoint(dealt.join(sets, "v").groupBy("token", "s", "t").applyInArrow(_meet(num, den), "a long, b long"))
+        if not across.isEmpty():
+            joined = components(across.unionByName(joined.select(F.col("v").alias("a"), F.col("component").alias("b"))))
+        del label, left, dealt, across
+    del parts, within, meeting, many, sets, hot
     release(spark)
 
-    joined = components(links.unionByName(meeting))
     # A class is named by the smallest document of its sets.
     member = sets_of.select("v", "rep").join(joined, "v")
     named = member.join(member.groupBy("component").agg(F.min("rep").alias("class")), "component").select("v", "class")
