@@ -13,8 +13,9 @@ Grids get finer (more coordinates) as the table grows. Cells beyond `chunk` rows
 chunks being a task of its own, so that no task holds more than two chunks. Equal vectors are one vector with a weight.
 
 Rows: vectors that are null, empty, zero or hold null or non-finite components link with nothing, as do vectors of
-different lengths with each other; each is its own component. Repeated ids are vectors of their own but share the
-larger number of links and the smaller component; null ids are left as they come. An empty table gives an empty result.
+different lengths with each other; each is its own component. Components are numbered in the type they come in, floats
+or doubles, and compared in doubles. Rows of one id with unlike vectors are vectors of their own; a vector without an id
+counts for none of the others. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -107,7 +108,7 @@ def _count_cells(threshold: float, dims: int):
     return run
 
 
-def _deal(threshold: float, dims: int, chunks: dict[bytes, int]):
+def _deal(threshold: float, dims: int, chunks: dict[bytes, int], kind: str):
     """Sends each vector to the tasks in which it meets its cell and the neighbouring cells."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,7 +143,7 @@ def _deal(threshold: float, dims: int, chunks: dict[bytes, int]):
                                 rows += [i] * m
                     for lo in range(0, len(rows), 4096):
                         some = np.array(rows[lo : lo + 4096])
-                        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1, dtype=np.int32) * d), pa.array(vectors[some].reshape(-1).astype(np.float32)))
+                        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1, dtype=np.int32) * d), pa.array(vectors[some].reshape(-1).astype(kind)))
                         yield pa.RecordBatch.from_arrays([pa.array(tasks[lo : lo + 4096], pa.binary()), pa.array(np.full(len(some), b, np.int32)), pa.array(left[lo : lo + 4096]), pa.array(keys[some]), pa.array(weights[some], pa.int64()), lists], names=["task", "block", "is_left", "rep", "w", "v"])
 
     return run
@@ -223,19 +224,23 @@ def _meet(threshold: float, dims: int, tile: int = 1024):
 def near_duplicates(vectors: DataFrame, threshold: float = 0.95, chunk: int = 32_768) -> DataFrame:
     """vec_id, n_links, component_id and kept of each row."""
     good = F.expr("embedding IS NOT NULL AND size(embedding) > 0 AND NOT exists(embedding, x -> x IS NULL OR isnan(x) OR abs(x) = float('infinity')) AND exists(embedding, x -> x <> 0)")
-    rows = vectors.select("vec_id", F.when(good, F.col("embedding")).cast("array<float>").alias("embedding"))
-    reps = checkpoint(rows.filter("embedding IS NOT NULL AND vec_id IS NOT NULL").groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("w")).select("rep", "embedding", "w"))
+    kind = "float" if vectors.schema["embedding"].dataType.elementType.simpleString() == "float" else "double"
+    rows = vectors.select("vec_id", F.when(good, F.col("embedding")).cast(f"array<{kind}>").alias("embedding"))
+    reps = checkpoint(rows.filter("embedding IS NOT NULL AND vec_id IS NOT NULL").groupBy("embedding").agg(F.min("vec_id").alias("low"), F.count(F.lit(1)).alias("w")).select(F.monotonically_increasing_id().alias("rep"), "embedding", "w", "low"))
     n = reps.count()
     # Each further coordinate leaves about a quarter of the rows to a cell.
     dims = max(1, min(WIDTH, math.ceil(math.log(max(1, n / (4 * chunk)), 4))))
     cells = reps.select("rep", "embedding").mapInArrow(_count_cells(threshold, dims), "cell binary, n long").groupBy("cell").agg(F.sum("n").alias("n")).filter(F.col("n") > chunk)
     chunks = {bytes(r["cell"]): -(-r["n"] // chunk) for r in cells.collect()}  # at most rows * blocks / chunk of them
-    dealt = reps.mapInArrow(_deal(threshold, dims, chunks), "task binary, block int, is_left boolean, rep long, w long, v array<float>")
+    dealt = reps.select("rep", "embedding", "w").mapInArrow(_deal(threshold, dims, chunks, {"float": "float32", "double": "float64"}[kind]), f"task binary, block int, is_left boolean, rep long, w long, v array<{kind}>")
     found = checkpoint(dealt.groupBy("task").applyInArrow(_meet(threshold, dims), "rep long, links long, root long"))
     counts = found.groupBy("rep").agg(F.sum("links").alias("links"))
     classes = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
-    table = reps.join(counts, "rep", "left").join(classes.withColumnRenamed("v", "rep"), "rep", "left")
-    told = table.select("embedding", (F.coalesce("links", F.lit(0)) + F.col("w") - 1).alias("n"), F.coalesce("component", "rep").alias("c"))
+    # A class is named by the smallest id of its vectors.
+    member = reps.select("rep", "low").join(classes.withColumnRenamed("v", "rep"), "rep", "left").select("rep", "low", F.coalesce("component", "rep").alias("class"))
+    named = member.join(member.groupBy("class").agg(F.min("low").alias("c")), "class").select("rep", "c")
+    table = reps.join(counts, "rep", "left").join(named, "rep")
+    told = table.select("embedding", (F.coalesce("links", F.lit(0)) + F.col("w") - 1).alias("n"), "c")
     out = rows.join(told, "embedding", "left")
     component = F.coalesce("c", "vec_id")
     return out.select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("vec_id"), F.lit(True)).alias("kept"))
