@@ -634,7 +634,7 @@ def bucket_of(counts: np.ndarray) -> np.ndarray:
 def _sum(rows: pa.Table) -> pa.Table:
     """One part's keys, each once: the table, and how many keys have counts of about that size."""
     keys, counts = add_up(np.concatenate([np.cumsum(unpack(k, np.uint64), dtype=np.uint64) for k in rows["keys"].to_pylist()]), np.concatenate([unpack(c, np.int64) for c in rows["counts"].to_pylist()]))
-    sizes = np.bincount(bucket_of(counts), minlength=1)
+    sizes = np.bincount(bucket_of(counts[counts > 0]), minlength=1)
     there = np.flatnonzero(sizes)
     shape = pa.array([list(zip(there.tolist(), sizes[there].tolist(), strict=True))], pa.list_(pa.struct([("bucket", pa.int64()), ("words", pa.int64())])))
     return pa.table({"part": rows["part"].slice(0, 1), "keys": pa.array([pack(steps(keys))], pa.binary()), "counts": pa.array([pack(counts)], pa.binary()), "total": pa.array([int(counts.sum())]), "shape": shape})
