@@ -10,8 +10,8 @@ each partition passes over its rows once, remembering the last response, and wha
 earlier partitions comes from a table with one row for each partition.
 
 Rows: a record whose URL or date is null matches nothing; responses with one date are ordered by id, and a revisit sees
-those of its own date with a smaller id; repeated ids are records of their own in the join, and a repeated response id
-gives each of its bodies; header names are compared without case, of repeated names the last counts, null headers are
+those of its own date with a smaller id; repeated ids of revisits are records of their own, and of responses with
+one id that whose payload comes first counts; header names are compared without case, of repeated names the last counts, null headers are
 none. An empty table gives an empty result; further columns are ignored.
 """
 
@@ -103,7 +103,8 @@ def resolve(records: DataFrame) -> DataFrame:
     slim = rows.filter(F.col("warc_type").isin("response", "revisit")).select("record_id", "canonical_url", "warc_date", (F.col("warc_type") == "response").alias("full"))
     pairs = as_of(slim, "canonical_url", "warc_date", "record_id", "full").filter("source IS NOT NULL").select(F.col("id").alias("record_id"), F.col("source").alias("response_id")).distinct()
     revisits = rows.filter("warc_type = 'revisit'").select("record_id", "canonical_url", F.col("h").alias("new"))
-    responses = rows.filter("warc_type = 'response'").select(F.col("record_id").alias("response_id"), F.col("h").alias("old"), "payload")
+    # Of responses with one id, the one whose payload comes first.
+    responses = rows.filter("warc_type = 'response'").groupBy(F.col("record_id").alias("response_id")).agg(F.min_by(F.struct(F.col("h").alias("old"), "payload"), F.coalesce("payload", F.lit(""))).alias("r")).select("response_id", "r.old", "r.payload")
     both = revisits.join(pairs, "record_id", "left").join(responses, "response_id", "left")
     tags, dates = (_tag(_value("new", "etag")), _tag(_value("old", "etag"))), (F.trim(_value("new", "last-modified")), F.trim(_value("old", "last-modified")))
     same = F.coalesce(tags[0] == tags[1], dates[0] == dates[1])
