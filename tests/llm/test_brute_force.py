@@ -477,3 +477,21 @@ def test_language_left_out(spark):
     share = {r["other"]: r["share"] for r in found.filter("doc_id % 2 = 1 OR lang = 'fr'").groupBy((F.col("lang") == "fr").alias("other")).agg(F.avg((F.col("score") >= 0.5).cast("int")).alias("share")).collect()}
     assert share[False] > 0.99
     assert share[True] < 0.1
+
+
+def test_hot_template(spark):
+    """Copies of a template, more than a chunk of them, with a stranger among them for one shingle: one class, and one more."""
+    words = [f"t{i}" for i in range(60)]
+    rows = [(i, " ".join([*words, f"own{i}"]), "en", "a", 0) for i in range(120)]
+    rows += [(500 + i, " ".join([*words[:8], *(f"x{i}y{j}" for j in range(40))]), "en", "a", 0) for i in range(60)]
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.near_duplicates(spark.createDataFrame(rows, DOCS), 4, 85, 100, common=4, chunk=16).collect()}
+    assert got == {i: 0 if i < 120 else i for i, *_ in rows}
+
+
+def test_vectors_of_doubles(spark):
+    """Doubles are compared as doubles, beyond what floats hold, and rows of one id keep their own vectors."""
+    a, b = np.cos(0.3175), np.sin(0.3175)  # cosines of 0.95 lie at an angle of 0.31756 from the first
+    rows = [(1, [1.0, 0.0]), (2, [a, b]), (3, [1e300, 0.0]), (4, [np.cos(0.3176), np.sin(0.3176)]), (5, [0.0, 1.0]), (5, [-1.0, 0.0]), (6, [-2.0, 0.0]), (None, [1.0, 0.0])]
+    found = near_vectors(spark.createDataFrame([(i, [float(x) for x in v]) for i, v in rows], "vec_id long, embedding array<double>"), threshold=0.95).collect()
+    got = sorted((r["vec_id"] or 0, r["n_links"], r["component_id"]) for r in found if r["vec_id"])
+    assert got == [(1, 2, 1), (2, 3, 1), (3, 2, 1), (4, 1, 1), (5, 0, 5), (5, 1, 5), (6, 1, 5)]
