@@ -228,6 +228,15 @@ def _meet(num: int, den: int):
     return run
 
 
+def _of(sets: DataFrame, rows: DataFrame, most: int = 100_000) -> DataFrame:
+    """Rows (v, ...) with their sets. Sets of few vertices are picked where they lie, by a broadcast of the vertices'
+    numbers; of more than `most`, they are joined with all of the sets."""
+    wanted = checkpoint(rows.select("v").distinct())
+    if wanted.count() <= most:
+        sets = sets.join(F.broadcast(wanted), "v", "left_semi")
+    return rows.join(sets, "v")
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, common: int = 64, chunk: int = 512) -> DataFrame:
     """doc_id, n_shingles and component_id of each row; two sets link if den * intersection >= num * union."""
     spark = docs.sparkSession
@@ -280,7 +289,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
     # The sets of a common shingle meet in chunks, drawn anew for each shingle.
     parts = hot.withColumn("parts", F.ceil(F.col("cnt") / chunk).cast("int")).withColumn("chunk", F.pmod(F.xxhash64("v", "token"), F.col("parts")).cast("int"))
     within = parts.select("token", "v", "chunk", F.col("chunk").alias("s"), F.col("chunk").alias("t"))
-    meeting = checkpoint(within.join(sets, "v").groupBy("token", "s", "t").applyInArrow(_meet(num, den), "a long, b long"))
+    meeting = checkpoint(_of(sets, within).groupBy("token", "s", "t").applyInArrow(_meet(num, den), "a long, b long"))
     joined = components(links.unionByName(meeting))
     many = checkpoint(parts.filter("parts > 1"))
     if not many.isEmpty():
@@ -289,7 +298,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
         open_tokens = label.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("token")
         left = many.join(open_tokens, "token")
         dealt = left.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).filter("other <> chunk").select("token", "v", "chunk", F.least("chunk", "other").alias("s"), F.greatest("chunk", "other").alias("t"))
-        across = checkpoint(dealt.join(sets, "v").groupBy("token", "s", "t").applyInArrow(_meet(num, den), "a long, b long"))
+        across = checkpoint(_of(sets, dealt).groupBy("token", "s", "t").applyInArrow(_meet(num, den), "a long, b long"))
         if not across.isEmpty():
             joined = components(across.unionByName(joined.select(F.col("v").alias("a"), F.col("component").alias("b"))))
         del label, left, dealt, across
