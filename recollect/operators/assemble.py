@@ -38,6 +38,7 @@ def digests(chunks: DataFrame, store: DataFrame, digest: Digest, max_chunks: int
 
 def reduce_again(texts: DataFrame, store: DataFrame, digest: Digest, n_ctx: int, max_tokens: int, target: int, max_chunks: int) -> DataFrame:
     """Texts (scope, text, n) with those that overflow the digest budget cut, digested and joined once more."""
+    texts = checkpoint(texts)
     long = rules.notes_too_long(F.col("text"), n_ctx, max_tokens) & (F.col("n") > 1)
     bulky = texts.filter(long).select("scope", F.lit(1).alias("turn"), "text")
     cut = split_texts(bulky, target, "scope", "turn")
