@@ -167,9 +167,9 @@ def _ranges(pattern: str) -> list[tuple[int, int]]:
 
 
 def lines_of(text: Column | str) -> Column:
-    """Lines without their ends; a line feed at the end of the text begins no line."""
+    """Lines without their ends, a line feed with or without a carriage return before it; one at the end of the text begins no line."""
     t = _c(text)
-    lines = F.transform(F.split(F.regexp_replace(t, r"\n$", ""), "\n", -1), lambda x: F.regexp_replace(x, r"\r$", ""))
+    lines = F.split(F.regexp_replace(F.replace(t, F.lit("\r\n"), F.lit("\n")), r"\n\z", ""), "\n", -1)
     return F.when(t == "", F.array().cast("array<string>")).otherwise(lines)
 
 
